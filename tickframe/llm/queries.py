@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, wu_manber
+from . import exact_dedup, mixing, quality, toxicity, wu_manber
 from .cluster import table
 
 
+def op1_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)
 
@@ -19,7 +29,9 @@ def op10_decontamination(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
+    "op6_quality": op6_quality,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_decontamination": op10_decontamination,
 }
