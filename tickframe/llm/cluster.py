@@ -25,18 +25,27 @@ def prepare(spark: SparkSession, batch_rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's checkpoint folder and go on from those files.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share.
 
-    ``spark.checkpoint.dir`` names the shared folder; a folder of our own is set only where
-    that setting is missing and none was set by hand, as in local tests. The files go when
-    Spark's cleaner finds the returned frame unreachable.
+    A folder of our own is set only where that setting is missing and none was set by hand,
+    as in local tests.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir", "") or getattr(context, "_tickframe_folder", "")
+    if not folder:
+        folder = context._tickframe_folder = tempfile.mkdtemp(prefix="tickframe-checkpoint-")
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = context.getConf().get("spark.checkpoint.dir", "")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tickframe-checkpoint-"))
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the cluster's checkpoint folder and go on from those files.
+
+    The files go when Spark's cleaner finds the returned frame unreachable.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

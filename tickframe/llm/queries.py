@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality, toxicity, wu_manber
+from pyspark.sql import functions as F
+
+from . import exact_dedup, fuzzy_lines, minhash_forest, mixing, quality, toxicity, wu_manber
 from .cluster import table
 
 
@@ -15,6 +17,16 @@ def op2_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_near_duplicates(spark, sf_dir):
+    return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_fuzzy_lines(spark, sf_dir):
+    """doc_id, n_lines, n_removed and the SHA-256 of the text that is left."""
+    out = fuzzy_lines.drop_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op6_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return quality.score_quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -31,6 +43,8 @@ def op10_decontamination(spark, sf_dir):
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
+    "op3_near_duplicates": op3_near_duplicates,
+    "op4_fuzzy_lines": op4_fuzzy_lines,
     "op6_quality": op6_quality,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_decontamination": op10_decontamination,
