@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fuzzy_lines, minhash_forest, mixing, quality, toxicity, wu_manber
+from . import context_mixing, exact_dedup, fuzzy_lines, minhash_forest, mixing, quality, toxicity, wu_manber
 from .cluster import table
 
 
@@ -32,6 +32,10 @@ def op6_quality(spark, sf_dir):
     return quality.score_quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_context_mixing(spark, sf_dir):
+    return context_mixing.score_split(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op3_near_duplicates": op3_near_duplicates,
     "op4_fuzzy_lines": op4_fuzzy_lines,
     "op6_quality": op6_quality,
+    "op7_context_mixing": op7_context_mixing,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_decontamination": op10_decontamination,
 }
