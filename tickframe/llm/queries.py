@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import context_mixing, exact_dedup, fuzzy_lines, minhash_forest, mixing, quality, toxicity, wu_manber
+from . import context_mixing, exact_dedup, fuzzy_lines, minhash_forest, mixing, quality, run_index, toxicity, wu_manber
 from .cluster import table
 
 
@@ -40,6 +40,10 @@ def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)
 
 
+def op9_run_index(spark, sf_dir):
+    return run_index.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark, sf_dir):
     return wu_manber.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_context_mixing": op7_context_mixing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_run_index": op9_run_index,
     "op10_decontamination": op10_decontamination,
 }
 
