@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import context_mixing, exact_dedup, fuzzy_lines, minhash_forest, mixing, quality, run_index, toxicity, wu_manber
+from . import context_mixing, exact_dedup, fuzzy_lines, minhash_forest, mixing, quality, run_index, token_scan, toxicity, wu_manber
 from .cluster import table
 
 
@@ -27,6 +27,10 @@ def op4_fuzzy_lines(spark, sf_dir):
     return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op5_token_counts(spark, sf_dir):
+    return token_scan.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return quality.score_quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -53,6 +57,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_fuzzy_lines": op4_fuzzy_lines,
+    "op5_token_counts": op5_token_counts,
     "op6_quality": op6_quality,
     "op7_context_mixing": op7_context_mixing,
     "op8_exact_dedup": op8_exact_dedup,
