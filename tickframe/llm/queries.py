@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from . import context_mixing, exact_dedup, fuzzy_lines, minhash_forest, mixing, quality, run_index, token_scan, toxicity, wu_manber
 from .cluster import table
+from .sql import SQL  # noqa: F401
 
 
 def op1_toxicity(spark, sf_dir):
@@ -64,7 +65,3 @@ QUERIES = {
     "op9_run_index": op9_run_index,
     "op10_decontamination": op10_decontamination,
 }
-
-SQL = {
-    "op8_exact_dedup": exact_dedup.OP8_SQL,
-}
