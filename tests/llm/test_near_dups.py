@@ -1,25 +1,10 @@
 """Components, near-duplicate documents and fuzzy lines against brute force."""
 
 import random
-import re
 
-from common import docs, lower
+from common import docs, repeated_lines, shingles, union_find
 
-from tickframe.llm import graph, minhash_forest
-
-
-def union_find(n, pairs):
-    root = {x: x for x in n}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in pairs:
-        a, b = find(a), find(b)
-        root[max(a, b)] = min(a, b)
-    return {x: find(x) for x in n}
+from tickframe.llm import fuzzy_lines, graph, minhash_forest
 
 
 def test_components(spark):
@@ -31,11 +16,6 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def shingles(text, size):
-    words = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
-    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if len(words) >= size else {tuple(words)} if words else set()
-
-
 def test_near_duplicates(spark):
     rng = random.Random(2)
     vocab = [f"w{k}" for k in range(3000)]
@@ -71,22 +51,7 @@ def test_near_duplicates(spark):
     assert minhash_forest.near_duplicates(docs(spark, [])).count() == 0
 
 
-def distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
-
-
 def test_fuzzy_lines(spark):
-    import numpy as np
-    import pyarrow as pa
-
-    from tickframe.llm import bytestext as bt
-    from tickframe.llm import fuzzy_lines
-
     rng = random.Random(4)
     vocab = [f"v{k}" for k in range(2000)]
     base = [[rng.choice(vocab) for _ in range(rng.randint(3, 60))] for _ in range(60)]
@@ -103,27 +68,7 @@ def test_fuzzy_lines(spark):
         rows.append((i, "\n".join(lines)))
     rows += [(500, None), (501, ""), (502, "\n\n"), (503, "a b c d e\nA B  C D E\nx"), (504, "x " * 30_000 + "\ny"), (505, "x " * 30_000), (506, "q w e r t"), (506, "q w e r t")]
     df = docs(spark, rows)
-    units = []
-    for i, t in rows:
-        for k, line in enumerate((t or "").split("\n")):
-            words = re.findall(r"[^\x20\x09-\x0D]+", lower(line))
-            if len(words) >= 5:
-                units.append((i, k, tuple(words)))
-    kinds = sorted({u[2] for u in units})
-    data, at = bt.flat(pa.array([" ".join(w) for w in kinds]))
-    sim = fuzzy_lines.line_units(data, at, 5)[3].view(np.uint64)
-    links = []
-    for a in range(len(kinds)):
-        for b in range(a):
-            x, y = kinds[a], kinds[b]
-            if max(len(x), len(y)) <= 2000 and bin(int(sim[a]) ^ int(sim[b])).count("1") <= 3 and distance(x, y) <= int(0.2 * max(len(x), len(y)) + 1e-9):
-                links.append((a, b))
-    group = union_find(range(len(kinds)), links)
-    number = {w: k for k, w in enumerate(kinds)}
-    seen, gone = {}, {}
-    for i, k, w in sorted(units):
-        if seen.setdefault(group[number[w]], (i, k)) != (i, k):
-            gone.setdefault(i, set()).add(k)
+    gone, links = repeated_lines(rows)
     assert links and gone
     out = fuzzy_lines.drop_lines(df)
     assert out.columns == [*df.columns, "_lines", "_removed"]

@@ -5,7 +5,7 @@ import random
 import re
 from collections import defaultdict
 
-from common import docs, lower
+from common import docs, hits, reshared
 
 from tickframe.llm import exact_dedup, mixing, wu_manber
 
@@ -28,23 +28,6 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_dedup(docs(spark, [])).count() == 0
 
 
-def reshared(size, share=1.5):
-    """Targets by repeated resharing."""
-    names = sorted(size, key=lambda s: (s is None, s))
-    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
-    target, free, left = {}, set(names), share * sum(size.values())
-    while free:
-        over = [s for s in free if left * weight[s] / sum(weight[x] for x in free) >= 2 * size[s]]
-        if not over:
-            target |= {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
-            break
-        for s in over:
-            target[s] = 2 * size[s]
-        left -= sum(target[s] for s in over)
-        free -= set(over)
-    return target
-
-
 def test_mixing(spark):
     rng = random.Random(3)
     rows = [(i, " ".join("w" * rng.randint(1, 5) for _ in range(rng.randint(0, 60))), rng.choice(["a", "a", "a", "b", "c", "d", None])) for i in range(3000)]
@@ -71,20 +54,6 @@ def test_mixing(spark):
     assert [r.taken for r in mixing.mix(docs(spark, [(1, ""), (2, None)])).collect()] == [0, 0]
 
 
-def hits(text, items, window=10):
-    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
-    hit, found = set(), set()
-    for name, t in items:
-        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
-        for k in range(len(w) - min(window, len(w)) + 1 if w else 0):
-            p = w[k : k + window]
-            for a in range(len(words) - len(p) + 1):
-                if words[a : a + len(p)] == p:
-                    hit |= set(range(a, a + len(p)))
-                    found.add(str(name))
-    return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
-
-
 def test_decontamination(spark):
     rng = random.Random(5)
     vocab = ["Ab", "b", "c", "dé", "e1", "f", "gg"]
