@@ -41,8 +41,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
 
     # Steps 1 and 2: only (length) and then (length, prefix) groups of two rows or more go on.
+    # Both look at counted kinds, so a group of many rows is one row here.
+    kinds = rows.groupBy("length", "prefix").agg(F.count("*").alias("n"))
     lengths = rows.groupBy("length").agg(F.count("*").alias("n")).filter("n > 1").select("length")
-    prefixes = rows.join(lengths, "length", "left_semi").groupBy("length", "prefix").agg(F.count("*").alias("n")).filter("n > 1").select("length", "prefix")
+    prefixes = kinds.join(lengths, "length", "left_semi").filter("n > 1").select("length", "prefix")
     alive = rows.join(prefixes, ["length", "prefix"], "left_semi")
     if not digest_all:
         # Rows that share all of KEY differ in nothing but the digest: any one-to-one match of them is right.
