@@ -67,8 +67,10 @@ def test_decontamination(spark):
     want = sorted((i, *hits(t, items)) for i, t in rows)
     for block in (5000, 7):
         found = wu_manber.find_benchmark(df, bench, block_items=block)
-        assert found.count() == len(rows) and set(df.columns) < set(found.columns)
+        assert sorted((r.row.doc_id, r.n_words, sum(x.end - x.start for x in r.spans), len(r["items"])) for r in found.collect()) == [w[:4] for w in want]
     assert sorted(map(tuple, wu_manber.contamination(df, bench).collect())) == want
+    odd = df.selectExpr("doc_id", "text", "1 AS spans", "'x' AS items", "2 AS n_words", "3 AS row", "4 AS hits")
+    assert wu_manber.decontaminate(odd, bench).columns == odd.columns
     clean = wu_manber.decontaminate(df, bench)
     assert clean.columns == df.columns
     assert sorted(r.doc_id for r in clean.collect()) == sorted(w[0] for w in want if not w[5])

@@ -152,32 +152,31 @@ def _searcher(shared, window: int):
     return run
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_items: int = 5000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``docs`` with n_words, spans (word ranges hit, disjoint) and items (ids as sorted strings) added."""
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_items: int = 5000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(row, n_words, spans, items): each row of ``docs`` as a struct, the word ranges hit (disjoint) and the item ids (sorted strings)."""
     spark = docs.sparkSession
     prepare(spark)
-    kept = [c for c in docs.columns if c not in ("n_words", "spans", "items", "text", "doc_id", id_col, text_col)]
-    out = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(text_col).isNull().alias("_null"), *kept, F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
     rows = benchmark.select(F.col(item_col).cast("string"), F.coalesce(F.col(item_text_col), F.lit(""))).toLocalIterator()
     first = True
     while (block := list(itertools.islice(rows, block_items))) or first:
         first = False
         shared = spark.sparkContext.broadcast((compile_patterns([t.encode() for _, t in block], window), [i for i, _ in block] or [None]))
         out = out.mapInArrow(_searcher(shared, window), out.schema)
-    out = out.withColumn("items", F.array_sort(F.array_distinct("items")))
-    return out.withColumn("text", F.when(~F.col("_null"), F.col("text"))).drop("_null")
+    return out.select("row", "n_words", "spans", F.array_sort(F.array_distinct("items")).alias("items"))
+
+
+def _hit_words():
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + (s["end"] - s["start"]))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     found = find_benchmark(docs.select("doc_id", "text"), benchmark.select("item_id", "text"), window)
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + (s["end"] - s["start"]))
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+    return found.select("row.doc_id", "n_words", _hit_words().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_hit: float = 0.0) -> DataFrame:
     """The rows of ``docs`` of whose words at most the share ``most_hit`` is hit, with their columns."""
-    names = docs.columns
     found = find_benchmark(docs, benchmark.select("item_id", "text"), window)
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + (s["end"] - s["start"]))
-    return found.filter(n_hit <= most_hit * F.col("n_words")).select(*names)
+    return found.filter(_hit_words() <= most_hit * F.col("n_words")).select("row.*")
