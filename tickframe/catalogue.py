@@ -11,9 +11,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickframe.functions import expressions, scalar, typing
-from tickframe.operators import analysis, delta, flow, rewrite
-from tickframe.plans import clock, composite, dag, sweep, templates
+from tickframe.functions import expressions, motion, scalar, typing
+from tickframe.operators import analysis, delta, flow, pool, rewrite
+from tickframe.plans import clock, composite, dag, sweep, templates, workflow
 from tickframe.sources import artifacts, bundle, history
 from tickframe.streaming import stateful
 
@@ -644,6 +644,104 @@ def template_trigger(spark, d):
     return spark.createDataFrame(list(done.items()), "study string, action string")
 
 
+@query("""WITH RECURSIVE t(tick, run, agent, v, g, s) AS (SELECT 0, s_nationkey % 3, s_name, (s_suppkey % 7 - 3) * 0.75::DOUBLE, (s_suppkey % 5 - 1) * 0.5::DOUBLE, 0.8::DOUBLE FROM supplier WHERE s_suppkey < 30
+UNION ALL (WITH c AS (SELECT *, v < -3 AS low, v + g < -3 AS leaves, count(*) OVER w AS n, sum(CASE WHEN v < -3 THEN 1 ELSE 0 END) OVER w AS lows, sum(CASE WHEN v + g < -3 THEN 0 ELSE 1 END) OVER w AS stay FROM t WINDOW w AS (PARTITION BY run)),
+k AS (SELECT *, NOT (lows - CAST(low AS INT) > 0) AND v + g > 3 AND n < 15 AND s <> 0 AS spawns FROM c WHERE NOT (leaves OR (low AND stay - CAST(NOT leaves AS INT) > 0)))
+SELECT tick + 1, run, CASE WHEN i = 1 THEN agent || '_' || (tick + 1) ELSE agent END, CASE WHEN spawns THEN 0.5::DOUBLE ELSE v + g END, CASE WHEN i = 1 THEN s ELSE g END,
+CASE WHEN i = 1 THEN CASE WHEN s * 0.625::DOUBLE > 0 AND s * 0.625::DOUBLE < 0.6 THEN -0.5::DOUBLE ELSE s * 0.625::DOUBLE END ELSE s END FROM k, (VALUES (0), (1)) d(i) WHERE tick < 8 AND (i = 0 OR spawns)))
+SELECT CAST(run AS INTEGER) AS run, agent, v AS value, g AS growth FROM t WHERE tick = 8""")
+def dynamic_pool(spark, d):
+    """Members that grow, spawn and remove each other for eight ticks."""
+    key = F.col("s_suppkey")
+    start = read(spark, d, "supplier").filter("s_suppkey < 30").select(
+        (F.col("s_nationkey") % 3).alias("run"), F.col("s_name").alias("agent"), ((key % 7 - 3) * 0.75).alias("value"), ((key % 5 - 1) * 0.5).alias("growth"), F.lit(0.8).alias("spawn_growth")
+    )
+    return clock.loop(start, 8, pool.pool_tick, every=3).select("run", "agent", "value", "growth")
+
+
+@query("""WITH c AS (SELECT s_nationkey AS n, s_suppkey AS k, CAST(s_acctbal AS DECIMAL(18,2)) AS v FROM supplier),
+a AS (SELECT *, CASE WHEN sum(v) OVER (PARTITION BY n) - v > 4000 THEN coalesce((SELECT arg_max(o.k, (o.v, -o.k)) FROM c o WHERE o.n = c.n AND o.k <> c.k), k) ELSE k END AS target FROM c),
+s AS (SELECT n, target, count(*) * 100 AS d FROM a GROUP BY n, target)
+SELECT a.n AS nation, a.k AS supplier, a.target, CAST(a.v + coalesce(s.d, 0) AS DOUBLE) AS value FROM a LEFT JOIN s ON s.n = a.n AND s.target = a.k""")
+def pool_rewire(spark, d):
+    """Members of rich pools write to their richest peer instead of themselves."""
+    start = read(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("supplier"), F.col("s_acctbal").cast("decimal(18,2)").alias("value"))
+    out = pool.deliver(pool.rewire(start, "nation", "supplier", "value", 4000), "nation", "supplier", "value", F.lit(100))
+    return out.select("nation", "supplier", "target", F.col("value").cast("double").alias("value"))
+
+
+@query()
+def creation_annihilation(spark, d):
+    return pool.create_and_annihilate(read(spark, d, "supplier").select("s_name", "s_acctbal"), "s_name", 0.2, 0.1, 5)
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_acctbal > 5000 THEN greatest(s_acctbal - 750, 0.0::DOUBLE) ELSE CASE WHEN 5000 - s_acctbal < 750 THEN 5000.0::DOUBLE ELSE greatest(s_acctbal + 750, 0.0::DOUBLE) END END AS position FROM (SELECT * FROM supplier WHERE abs(s_acctbal - 5000) > 750)""")
+def move_toward(spark, d):
+    s = read(spark, d, "supplier").filter("abs(s_acctbal - 5000) > 750")
+    return s.select("s_suppkey", motion.move_toward(F.col("s_acctbal"), F.lit(5000.0), 750.0, 0.0, 10000.0).alias("position"))
+
+
+@query("""SELECT s_suppkey, floor(s_acctbal / 1000 * exp(-0.5) * 10000 + 0.5) / 10000 AS x FROM supplier""")
+def ode_decay(spark, d):
+    """dx/dt = -x / 2 over one unit of time by Runge-Kutta steps; the SQL is the closed solution."""
+    return read(spark, d, "supplier").select("s_suppkey", scalar.rounded(motion.integrate(F.col("s_acctbal") / 1000, lambda x, t: x * -0.5, 1.0, 64), 4).alias("x"))
+
+
+@query("""SELECT e.user_id AS simulation_id, event_id AS step, 'value (mol)' AS label, value FROM events e WHERE user_id % 4 = 1""")
+def load_runs(spark, d):
+    """Runs chosen by name, their states read from JSON, labelled with units."""
+    e = read(spark, d, "events")
+    rows = e.select(F.col("user_id").alias("simulation_id"), F.col("event_id").alias("step"), F.lit(0.0).alias("global_time"), F.to_json(F.struct("value")).alias("state"))
+    runs = e.select(F.col("user_id").alias("simulation_id"), F.concat(F.lit("study"), (F.col("user_id") % 4).cast("string")).alias("name")).distinct()
+    units = history.observable_units(spark, {"value": {"units": "mol"}})
+    found = history.load_runs(rows, runs, ["study1"]).join(F.broadcast(units), "observable")
+    return found.select("simulation_id", "step", F.format_string("%s (%s)", "label", "units").alias("label"), "value")
+
+
+@query("""SELECT s_suppkey, '{"s_acctbal":' || s_acctbal || ',"s_name":"' || s_name || '"}' AS state FROM supplier WHERE s_acctbal <> floor(s_acctbal) AND abs(s_acctbal) > 1""")
+def state_json(spark, d):
+    s = read(spark, d, "supplier").filter("s_acctbal != floor(s_acctbal) and abs(s_acctbal) > 1").select("s_suppkey", "s_name", "s_acctbal")
+    return history.state_json(s, ["s_suppkey"])
+
+
+@query("""SELECT p_partkey, p_retailprice * 2 AS shown FROM part""")
+def view_project(spark, d):
+    """A step reads nested stores through wires and writes back; a subtree is stripped before it is shown."""
+    rows = read(spark, d, "part").select("p_partkey", F.struct(F.struct(F.col("p_retailprice").alias("price")).alias("inner"), F.col("p_brand").alias("secret")).alias("store"))
+    rows = history.stripped(rows, ["store.secret"])
+    g = dag.Graph().add(dag.Step("double", {"x": "store_inner_price"}, {"y": "shown"}, lambda i: {"y": i["x"] * 2}))
+    return g.run(history.query_paths(rows, ["p_partkey", "store.inner.price"])).select("p_partkey", "shown")
+
+
+@query("""SELECT 'first' AS run, p_partkey, p_size * 3.0::DOUBLE AS level, false AS cache_hit FROM part WHERE p_partkey < 40 UNION ALL SELECT 'second', p_partkey, p_size * 3.0::DOUBLE, p_partkey < 40 FROM part WHERE p_partkey < 60""")
+def sweep_store(spark, d):
+    """A sweep run twice over one store: the second run computes only what is new."""
+    store = artifacts.Store(spark, shared(spark, "sweep"))
+    compute = lambda m: m.withColumn("level", F.col("p_size") * 3.0)
+    part = read(spark, d, "part").select("p_partkey", "p_size")
+    out = [workflow.sweep_with_store(part.filter(F.col("p_partkey") < n), "levels", ["p_partkey", "p_size"], compute, store).select(F.lit(run).alias("run"), "p_partkey", "level", "cache_hit") for run, n in (("first", 40), ("second", 60))]
+    return out[0].unionByName(out[1])
+
+
+@query("""SELECT * FROM (VALUES ('a', 'succeeded'), ('b', 'failed'), ('c', 'blocked'), ('d', 'succeeded')) t(node, status)""")
+def workflow_status(spark, d):
+    def fail(df):
+        raise ValueError("no")
+
+    nation = read(spark, d, "nation")
+    results = workflow.run_workflow({"a": ([], lambda: nation), "b": (["a"], fail), "c": (["b"], lambda x: x), "d": (["a"], lambda x: x.limit(1))})
+    return workflow.provenance(results, spark).select("node", "status")
+
+
+@query("""WITH RECURSIVE t(k, time, x, y) AS (SELECT s_suppkey, 0, s_acctbal, s_acctbal * 0.0 FROM supplier UNION ALL SELECT k, time + 1, x + 2.0::DOUBLE, y + x * 0.5::DOUBLE FROM t WHERE time < 4) SELECT k AS s_suppkey, y AS outer_value FROM t WHERE time = 4""")
+def nested_composite(spark, d):
+    """An inner process whose state the outer one reads through a bridge, on one clock."""
+    state = read(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("inner"), F.lit(0.0).alias("outer"))
+    inner = composite.Process("inner", 1.0, lambda s, h: {"inner": F.lit(2.0) * h})
+    outer = composite.Process("outer", 1.0, lambda s, h: {"outer": F.col("inner") * 0.5 * h})
+    return composite.Composite(state, processes=[inner, outer], bridge={"s_suppkey": "s_suppkey", "outer_value": "outer"}).run(4.0).read_bridge()
+
+
 # --- streaming ------------------------------------------------------------------------
 
 

@@ -124,3 +124,46 @@ def latest_steps(history: DataFrame, most: int) -> DataFrame:
     """All rows of the last ``most`` recorded steps."""
     steps = history.select("step").distinct().orderBy(F.desc("step")).limit(most)
     return history.join(steps, "step", "left_semi")
+
+
+def load_runs(history: DataFrame, catalogue: DataFrame, names: list[str] | None = None, run: str | None = None) -> DataFrame:
+    """Observables of the catalogued runs (simulation_id, name), by name or id, in long form.
+
+    Rows without a readable state give no observable; the filter is on the small side, before the join.
+    """
+    chosen = catalogue.select("simulation_id", "name")
+    if names is not None:
+        chosen = chosen.filter(F.col("name").isin(*names))
+    if run is not None:
+        chosen = chosen.filter(F.col("simulation_id") == run)
+    return observables(history.join(chosen.select("simulation_id"), "simulation_id", "left_semi")).filter("value is not null")
+
+
+def observable_units(spark: SparkSession, meta: dict[str, dict]) -> DataFrame:
+    """(observable, units, label) from a study's description of its observables."""
+    rows = [(k, m.get("units"), m.get("label", k)) for k, m in sorted(meta.items())]
+    return spark.createDataFrame(rows, "observable string, units string, label string")
+
+
+def gather(emitters: dict[str, Emitter], paths: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
+    """The history of every emitter by name, as lazy frames."""
+    return {k: e.history() if not paths or k not in paths else query_paths(e.history(), paths[k]) for k, e in emitters.items()}
+
+
+def stripped(df: DataFrame, paths: list[str]) -> DataFrame:
+    """``df`` without these subtrees: a.b.c drops a field of a struct, a drops a column."""
+    for p in paths:
+        head, _, rest = p.partition(".")
+        df = df.withColumn(head, F.col(head).dropFields(rest)) if rest else df.drop(head)
+    return df
+
+
+def without_nulls(column: Column) -> Column:
+    """A map without its null values."""
+    return F.map_filter(column, lambda k, v: v.isNotNull())
+
+
+def state_json(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., state): every row's other columns as JSON text, names in order."""
+    rest = sorted(c for c in df.columns if c not in keys)
+    return df.select(*keys, F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias("state"))
