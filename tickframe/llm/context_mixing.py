@@ -319,10 +319,11 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     kind = "block int, zeros binary, ones binary"
     blocks = texts.filter(~sampled).select("text").mapInArrow(tables, kind).repartition("block").mapInArrow(summed, kind)
     zeros, ones = np.zeros(STARTS[-1]), np.zeros(STARTS[-1])
-    for r in blocks.toLocalIterator():
-        x = np.frombuffer(r.zeros, "<u4")
-        zeros[r.block * TABLE_BLOCK :][: len(x)] = x
-        ones[r.block * TABLE_BLOCK :][: len(x)] = np.frombuffer(r.ones, "<u4")
+    for block, z, o in zip(*blocks.toArrow().columns, strict=True):  # two numbers per slot, whatever the corpus
+        at = block.as_py() * TABLE_BLOCK
+        x = np.frombuffer(z.as_buffer(), "<u4")
+        zeros[at : at + len(x)] = x
+        ones[at : at + len(x)] = np.frombuffer(o.as_buffer(), "<u4")
     model = Model(zeros, ones)
     del zeros, ones
     release(spark)
