@@ -15,8 +15,8 @@ Every byte that a string of ``LENGTH`` bytes covers which also starts elsewhere
    matches one byte less than the suffix before it). The matching statistics of a region
    then tell which windows occur in another one.
 4. A crowded anchor (over ``CROWD`` classes) is divided before step 3: its windows are split
-   by their distance to the anchor, and each half is keyed by the bytes that all its windows
-   share, again and again until no key is crowded.
+   into cells by their distance to the anchor, and each cell is keyed by the bytes that all
+   its windows share; cells that are still crowded are split further, down to one window.
 
 Defined cases: null texts are empty; texts shorter than LENGTH lose nothing; repeated rows
 are repeats of each other; an empty table gives an empty result; ids may be null or
@@ -39,8 +39,10 @@ from .cluster import cut, prepare, release
 LENGTH, GRAM = 200, 16
 REACH = LENGTH - GRAM + 1
 PIECE = 1 << 19
-CROWD = 2000
-BLOCK = 1 << 20
+CROWD = 5000
+#: A crowded anchor's windows are divided into 2 ** level cells; in the last step a cell is one window.
+LEVELS = (3, 6, 8)
+BLOCK = 56_000
 SEPARATOR = 0xFF
 MIX_A, MIX_B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
@@ -106,11 +108,9 @@ class RunIndex:
 
     def __init__(self, text: np.ndarray):
         self.text, n = text, len(text)
-        padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
-        self.eight = np.zeros(n, np.uint64)
-        for k in range(8):
-            self.eight = (self.eight << np.uint64(8)) | padded[k : k + n]
-        self.order = self._suffixes(self.eight)
+        padded = np.concatenate([text, np.zeros(8, np.uint8)])
+        self.eight = np.lib.stride_tricks.as_strided(padded, (n, 8), (1, 1)).copy().view(">u8").ravel().astype(np.uint64)
+        self.order = self._suffixes(text)
         bwt = text[self.order - 1].astype(np.int16)
         bwt[self.order == 0] = -1  # nothing precedes the first suffix: a run of its own
         ends = np.ones(n, bool)
@@ -121,23 +121,35 @@ class RunIndex:
         self.run_suffix = self.order[self.run_at]
 
     @staticmethod
-    def _suffixes(eight: np.ndarray) -> np.ndarray:
-        """Suffix order by prefix doubling from eight bytes on."""
-        n, width = len(eight), 8
-        key = eight
+    def _suffixes(text: np.ndarray) -> np.ndarray:
+        """Suffix order by prefix multiplication: as many ranks as fit 64 bits make the next key.
+
+        0 stands for what is past the end.
+        """
+        n = len(text)
+        used = np.flatnonzero(np.bincount(text, minlength=256))
+        code = np.zeros(256, np.uint64)
+        code[used] = np.arange(1, len(used) + 1)
+        rank, top, width = code[text], len(used), 1
         while True:
-            order = np.argsort(key, kind="stable")
+            bits = np.uint64(int(top).bit_length())
+            ways = 64 // int(bits)
+            key = rank.copy()
+            for k in range(1, ways):
+                key <<= bits
+                if k * width < n:
+                    key[: n - k * width] |= rank[k * width :]
+            width *= ways
+            order = np.argsort(key)
             ranked = key[order]
-            step = np.zeros(n, np.int64)
+            step = np.ones(n, np.uint64)
             step[1:] = ranked[1:] != ranked[:-1]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(step)
-            if rank[order[-1]] == n - 1 or width >= n:
+            np.cumsum(step, out=step)
+            top = int(step[-1])
+            if top == n or width >= n:
                 return order
-            ahead = np.zeros(n, np.int64)
-            ahead[:-width] = rank[width:] + 1
-            key = (rank.astype(np.uint64) << np.uint64(32)) | ahead.astype(np.uint64)
-            width *= 2
+            rank = np.empty(n, np.uint64)
+            rank[order] = step
 
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Lengths of the common prefixes of suffixes a[i] and b[i]."""
@@ -256,15 +268,15 @@ def _slices(batches):
 def _index_matches(rows: DataFrame) -> DataFrame:
     """(fp, ctx, lo, hi): repeated stretches of regions, from the bytes of one region per class."""
     kind = "fp long, ctx long, lo int, hi int"
-    found, level = [], 0
+    found, levels = [], iter(LEVELS)
     rows = cut(rows)
     while True:
         crowded = cut(rows.groupBy("fp").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("fp"))
         calm = rows.join(crowded, "fp", "left_anti")
         found.append(cut(calm.repartition("fp").sortWithinPartitions("fp").mapInArrow(_indexed, kind)))
-        if crowded.isEmpty() or level >= 8:
+        if crowded.isEmpty():
             break
-        level += 1
+        level = next(levels)  # after the last level a key is one window, which has one kind
         cells = cut(rows.join(crowded, "fp", "left_semi").mapInArrow(_halved(level), ROW).withColumn("h", F.xxhash64("bytes", "place")))
         kinds = cells.groupBy("fp", "h").agg(F.sum("m").alias("total"), F.min_by(F.struct("place", "bytes", "fp0", "ctx0", "first"), F.struct("fp0", "ctx0", "first")).alias("one"))
         kinds = cut(kinds)
