@@ -45,7 +45,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kinds = rows.groupBy("length", "prefix").agg(F.count("*").alias("n"))
     lengths = rows.groupBy("length").agg(F.count("*").alias("n")).filter("n > 1").select("length")
     prefixes = kinds.join(lengths, "length", "left_semi").filter("n > 1").select("length", "prefix")
-    alive = rows.join(prefixes, ["length", "prefix"], "left_semi")
+    alive = rows.join(cut(prefixes), ["length", "prefix"], "left_semi")  # cut, so that a large group's rows can be split
     if not digest_all:
         # Rows that share all of KEY differ in nothing but the digest: any one-to-one match of them is right.
         copy = lambda order: F.row_number().over(Window.partitionBy(*KEY).orderBy(order))
@@ -59,6 +59,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Step 3: the full digest decides.
     best = F.max_by(F.struct("doc_id", "row"), F.struct("chars", F.col("doc_id").isNotNull(), -F.col("doc_id"), -F.col("row")))
     groups = alive.groupBy("digest").agg(best.alias("best"), F.count("*").alias("n")).filter("n > 1")
+    groups = cut(groups)
     found = rows if digest_all else rows.drop("digest").join(alive.select("row", "digest"), "row", "left")
     out = found.join(groups, "digest", "left")
     return out.select(

@@ -168,7 +168,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, id_col: s
     links = first.unionByName(_confirmed(rest, sets, percent))
     reached = components(links)
 
-    named = classes.select("key", "id").join(reached.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("component", "id").alias("component"))
+    named = cut(classes.select("key", "id").join(reached.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("component", "id").alias("component")))
     prepare(spark)
     out = signed.drop("sig").join(named, "key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))

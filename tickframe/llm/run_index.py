@@ -321,7 +321,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     # What follows is narrow rows in large numbers; only this step and the last two see texts.
     every = cut(texts.mapInArrow(_anchor_rows, "fp long, ctx long, key long, start int, length int, place int"))
     several = every.groupBy("fp").agg(F.count("*").alias("n"), (F.min("ctx") != F.max("ctx")).alias("mixed")).filter("n > 1").select("fp", "mixed")
-    found = cut(every.join(several, "fp"))
+    found = cut(every.join(cut(several), "fp"))  # cut first, so that a very common anchor's side of the join can be split
     del every, several
     release(spark)
 
