@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +37,9 @@ def shared_folder(spark: SparkSession) -> str:
     folder = context.getConf().get("spark.checkpoint.dir", "") or getattr(context, "_tickframe_folder", "")
     if not folder:
         folder = context._tickframe_folder = tempfile.mkdtemp(prefix="tickframe-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    # Unless the cluster says otherwise, checkpoints go when nothing refers to them any more.
+    context._jsc.sc().conf().setIfMissing("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(folder)
     return folder
