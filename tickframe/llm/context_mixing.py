@@ -195,7 +195,7 @@ class Model:
 
     def __init__(self, zeros: np.ndarray, ones: np.ndarray):
         seen = zeros + ones
-        prior = 0.4
+        prior = np.float32(0.4)
         self.logit = np.clip(np.log((ones + prior) / (zeros + prior)), -10, 10).astype(np.float16)
         self.gate = np.minimum(np.ceil(np.log2(seen + 1)) / 2, GATES - 1).astype(np.int8)
         self.weights = np.full((K, GATES), 1.0 / K, np.float32)
@@ -204,15 +204,15 @@ class Model:
         x = np.stack([self.logit[s] for s in slots]).astype(np.float32)
         return x, np.stack([self.gate[s] for s in slots])
 
-    def fit(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, steps: int = 60, rate: float = 1.0) -> None:
-        """Gate weights that minimise the coding length of a sample of bits, by RMS-scaled gradient steps."""
+    def fit(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, times: np.ndarray, steps: int = 60, rate: float = 1.0) -> None:
+        """Gate weights that minimise the coding length of a sample of bits, each counted ``times``, by RMS-scaled gradient steps."""
         scale = np.zeros((K, GATES))
         for step in range(steps):
             z = np.zeros(len(bit))
             for k in range(K):
                 z += self.weights[k, gate[k]] * x[k]
-            error = bit - 1 / (1 + np.exp(-z))
-            g = np.stack([np.bincount(gate[k], error * x[k], GATES) for k in range(K)]) / max(1, len(bit))
+            error = times * (bit - 1 / (1 + np.exp(-z)))
+            g = np.stack([np.bincount(gate[k], error * x[k], GATES) for k in range(K)]) / times.sum()
             scale = 0.9 * scale + 0.1 * g**2
             self.weights += (0.1 * rate / (1 + step / 10) * g / (np.sqrt(scale) + 1e-6)).astype(np.float32)
 
@@ -235,11 +235,11 @@ class Model:
         total = np.zeros(t.n)
         for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             d, xs, s = doc[lo:hi], x[:, lo:hi], sign[lo:hi]
-            m = s * (z[lo:hi] + (extra[:, d] * xs).sum(0))
+            odds = np.exp(np.minimum(-s * (z[lo:hi] + (extra[:, d] * xs).sum(0)), 80))  # against the bit that came
             edge = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
             whose = d[edge]
-            total[whose] -= np.add.reduceat(np.logaddexp(0, -m).astype(np.float64), edge)
-            error = s / (1 + np.exp(m))
+            total[whose] -= np.add.reduceat(np.log1p(odds).astype(np.float64), edge)
+            error = s * (odds / (1 + odds))
             extra[:, whose] += RATE / 16 * np.add.reduceat(error * xs, edge, axis=1)
         return total
 
@@ -290,19 +290,16 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
 
     def tables(batches):
         vocabulary = words.value
-        zeros, ones = np.zeros(STARTS[-1], np.int64), np.zeros(STARTS[-1], np.int64)
+        counts = np.zeros(2 * STARTS[-1], np.int64)  # zeros and ones of a slot stand side by side
         for b in batches:
             data, offsets = bt.flat(b["text"])
             for i, j in bt.slices(offsets):
                 _, bit, slots = Tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], vocabulary).bits(vocabulary)
-                up = bit > 0
-                for k, s in enumerate(slots):
-                    size = STARTS[k + 1] - STARTS[k]
-                    s = s - STARTS[k]
-                    ones[STARTS[k] : STARTS[k + 1]] += np.bincount(s[up], minlength=size)
-                    zeros[STARTS[k] : STARTS[k + 1]] += np.bincount(s[~up], minlength=size)
+                one = bit.astype(np.int64)
+                for s in slots:
+                    np.add.at(counts, 2 * s + one, 1)
         for lo in range(0, STARTS[-1], TABLE_BLOCK):
-            z, o = zeros[lo : lo + TABLE_BLOCK], ones[lo : lo + TABLE_BLOCK]
+            z, o = counts[2 * lo : 2 * (lo + TABLE_BLOCK) : 2], counts[2 * lo + 1 : 2 * (lo + TABLE_BLOCK) : 2]
             if z.any() or o.any():
                 yield pa.RecordBatch.from_arrays([pa.array([lo // TABLE_BLOCK], pa.int32()), pa.array([z.astype("<u4").tobytes()]), pa.array([o.astype("<u4").tobytes()])], names=["block", "zeros", "ones"])
 
@@ -318,7 +315,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
 
     kind = "block int, zeros binary, ones binary"
     blocks = texts.filter(~sampled).select("text").mapInArrow(tables, kind).repartition("block").mapInArrow(summed, kind)
-    zeros, ones = np.zeros(STARTS[-1]), np.zeros(STARTS[-1])
+    zeros, ones = np.zeros(STARTS[-1], np.float32), np.zeros(STARTS[-1], np.float32)
     for block, z, o in zip(*blocks.toArrow().columns, strict=True):  # two numbers per slot, whatever the corpus
         at = block.as_py() * TABLE_BLOCK
         x = np.frombuffer(z.as_buffer(), "<u4")
@@ -353,8 +350,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
         for k in range(K - 1, -1, -1):
             gate[k], key = key % GATES, key // GATES
             x[k], key = (key % 41 - 20) / 2.0, key // 41
-        times = np.minimum(n, 50)
-        model.fit(np.repeat(x, times, 1), np.repeat(gate, times, 1), np.repeat(bit, times))
+        model.fit(x, gate, bit, n.astype(float))
     return counts, v, model
 
 
