@@ -44,6 +44,8 @@ K = len(TABLE_BITS)
 GATES = 8
 TABLE_BLOCK = 1 << 13
 BLOCK_BITS = 256
+#: Bytes of text whose bits are held at once; a longer text stands alone.
+SLICE = 1 << 19
 RATE = 0.02
 NODE_CODE = np.uint64(0x9E3779B97F4A7C15)
 END_WORD = np.uint64(0x5851F42D4C957F2D)
@@ -293,7 +295,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
         counts = np.zeros(2 * STARTS[-1], np.int64)  # zeros and ones of a slot stand side by side
         for b in batches:
             data, offsets = bt.flat(b["text"])
-            for i, j in bt.slices(offsets):
+            for i, j in bt.slices(offsets, SLICE):
                 _, bit, slots = Tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], vocabulary).bits(vocabulary)
                 one = bit.astype(np.int64)
                 for s in slots:
@@ -330,7 +332,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     def sample(batches):
         for b in batches:
             data, offsets = bt.flat(b["text"])
-            for i, j in bt.slices(offsets):
+            for i, j in bt.slices(offsets, SLICE):
                 _, bit, slots = Tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words.value).bits(words.value)
                 x, gate = tables_sent.value.inputs(slots)
                 # Bits with the same gates and about the same inputs count together.
@@ -364,7 +366,7 @@ def score_documents(docs: DataFrame, held_out, counts: DataFrame, v: Vocabulary,
         v, model = shared.value
         for b in batches:
             data, offsets = bt.flat(b["text"])
-            for i, j in bt.slices(offsets):
+            for i, j in bt.slices(offsets, SLICE):
                 t = Tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], v)
                 known = t.index >= 0
                 count = np.zeros(len(t.word))
