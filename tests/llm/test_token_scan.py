@@ -33,5 +33,5 @@ def test_flat_files(spark, tmp_path, monkeypatch):
         want += [(f, k, int(n), True) for k, n in enumerate(lengths)] + [(f, len(lengths), rest, False)] * (rest > 0)
     for size in (16, 1000):
         blocks = token_scan.read_token_files(spark, str(tmp_path), 2, size)
-        got = [(int(r.file.rsplit("/", 1)[1][0]), r.ordinal, r.n_tokens, r.terminated) for r in token_scan.document_lengths(blocks, 0, size).collect()]
+        got = [(int(r.file.rsplit("/", 1)[1][0]), r.ordinal, r.n_tokens, r.terminated) for r in token_scan.document_lengths(blocks, 0, size, 2).collect()]
         assert sorted(got) == sorted(want)

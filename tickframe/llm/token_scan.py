@@ -59,10 +59,10 @@ def encode(encoder, text: str) -> np.ndarray:
     return np.asarray(encoder.encode_ordinary(text), np.uint32)
 
 
-def tokenise(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, int]:
-    """Flat token files of the documents, one per partition, and the separator's id.
+def tokenise(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, int, int]:
+    """Flat token files of the documents, one per partition, the separator's id, and the bytes of an id.
 
-    Rows: file, block, data (token ids, 4 bytes each, little-endian; null in rows of ids),
+    Rows: file, block, data (token ids, little-endian; null in rows of ids),
     first and ids (the documents of a file in order, beginning with number ``first``).
     """
     spark = docs.sparkSession
@@ -70,6 +70,7 @@ def tokenise(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTE
     with open(vocabulary, "rb") as f:  # on the driver; its content goes to the workers
         content = f.read()
     _, separator = load_encoder(content, pattern)
+    width = 2 if separator < 1 << 16 else 4
     shared = spark.sparkContext.broadcast(content)
 
     def run(batches):
@@ -92,16 +93,16 @@ def tokenise(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTE
                 if size >= block_tokens:
                     flat = np.concatenate(held)
                     whole = size // block_tokens
-                    yield rows(block, [flat[k * block_tokens : (k + 1) * block_tokens].astype("<u4").tobytes() for k in range(whole)], 0, [])
+                    yield rows(block, [flat[k * block_tokens : (k + 1) * block_tokens].astype(f"<u{width}").tobytes() for k in range(whole)], 0, [])
                     held, size, block = [flat[whole * block_tokens :]], size - whole * block_tokens, block + whole
             if b.num_rows:
                 yield rows(0, [], seen, [b["doc_id"].to_pylist()])
                 seen += b.num_rows
         if size:
-            yield rows(block, [np.concatenate(held).astype("<u4").tobytes()], 0, [])
+            yield rows(block, [np.concatenate(held).astype(f"<u{width}").tobytes()], 0, [])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(run, "file int, block long, data binary, first long, ids array<long>"), separator
+    return texts.mapInArrow(run, "file int, block long, data binary, first long, ids array<long>"), separator, width
 
 
 def read_token_files(spark: SparkSession, path: str, width: int = 4, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -114,21 +115,21 @@ def read_token_files(spark: SparkSession, path: str, width: int = 4, block_token
                 data = content.as_buffer()
                 step = block_tokens * width
                 for k in range(0, len(data) // width * width, step):
-                    tokens = np.frombuffer(data, f"<u{width}", min(step, len(data) // width * width - k) // width, k)
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k // step], pa.int64()), pa.array([tokens.astype("<u4").tobytes()])], names=["file", "block", "data"])
+                    part = data.slice(k, min(step, len(data) // width * width - k)).to_pybytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k // step], pa.int64()), pa.array([part])], names=["file", "block", "data"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, block long, data binary")
 
 
-def document_lengths(blocks: DataFrame, separator: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(file, ordinal, n_tokens, terminated) from the blocks (file, block, data) of flat token files."""
+def document_lengths(blocks: DataFrame, separator: int, block_tokens: int = BLOCK_TOKENS, width: int = 4) -> DataFrame:
+    """(file, ordinal, n_tokens, terminated) from the blocks (file, block, data) of flat token files with ``width`` bytes an id."""
     prepare(blocks.sparkSession, 16)
 
     def run(batches):
         for b in batches:
             size, count, head, last, inner = [], [], [], [], []
             for data in b["data"]:
-                tokens = np.frombuffer(data.as_buffer(), "<u4")
+                tokens = np.frombuffer(data.as_buffer(), f"<u{width}")
                 at = np.flatnonzero(tokens == separator)
                 size.append(len(tokens))
                 count.append(len(at))
@@ -159,8 +160,8 @@ def document_lengths(blocks: DataFrame, separator: int, block_tokens: int = BLOC
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id, n_tokens for every document: flat files are written, then scanned."""
-    flat, separator = tokenise(docs, vocabulary, pattern, block_tokens=block_tokens)
+    flat, separator, width = tokenise(docs, vocabulary, pattern, block_tokens=block_tokens)
     flat = cut(flat)
-    lengths = document_lengths(flat.filter("data is not null"), separator, block_tokens)
+    lengths = document_lengths(flat.filter("data is not null"), separator, block_tokens, width)
     names = flat.filter("ids is not null").select("file", "first", F.posexplode("ids").alias("k", "doc_id")).select("file", (F.col("first") + F.col("k")).alias("ordinal"), "doc_id")
     return names.join(lengths, ["file", "ordinal"], "left").select("doc_id", "n_tokens")
