@@ -33,8 +33,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK_TOKENS = 1 << 18
 GROUP = 4096
-#: A run of this many bytes without a blank is encoded in pieces, since merging takes more than linear time.
-LONG_WORD = 1 << 12
+#: A run of this many blanks is encoded on its own, since the pattern's way back over a very long one overflows the stack.
+LONG_BLANK = 1 << 12
 
 
 def load_encoder(data: bytes, pattern: str = PATTERN):
@@ -45,18 +45,19 @@ def load_encoder(data: bytes, pattern: str = PATTERN):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), max(ranks.values()) + 1
 
 
-_LONG = re.compile(rf"\S{{{LONG_WORD}}}")
+#: The pattern's blanks; Python's own class has four more.
+_LONG = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_BLANK},}}")
 
 
 def encode(encoder, text: str) -> np.ndarray:
-    if len(text) > LONG_WORD and _LONG.search(text):
-        parts, at = [], 0
-        for m in _LONG.finditer(text):
-            parts += [text[at : m.start()], text[m.start() : m.end()]]
-            at = m.end()
-        parts.append(text[at:])
-        return np.concatenate([np.asarray(encoder.encode_ordinary(p), np.uint32) for p in parts])
-    return np.asarray(encoder.encode_ordinary(text), np.uint32)
+    """The tokens of the whole text; a long run of blanks is cut where PATTERN ends a match."""
+    parts, at = [], 0
+    for m in _LONG.finditer(text):
+        end = m.end() - (m.end() < len(text))  # the last blank goes with what follows
+        parts += [encoder.encode_ordinary(text[at : m.start()]), encoder._encode_single_piece(text[m.start() : end])]
+        at = end
+    parts.append(encoder.encode_ordinary(text[at:]))
+    return np.concatenate([np.asarray(p, np.uint32) for p in parts])
 
 
 def tokenise(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, int, int]:
