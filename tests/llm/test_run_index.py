@@ -5,10 +5,12 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from common import docs
 
 from tickframe.llm import run_index
+from tickframe.llm.cluster import cut, together
 
 
 def brute(rows, length=200):
@@ -61,3 +63,27 @@ def test_repeats(spark, monkeypatch, crowd):
     out = run_index.remove_repeats(docs(spark, rows)).collect()
     assert sorted(map(tuple, out), key=str) == brute(rows)
     assert run_index.remove_repeats(docs(spark, [])).count() == 0
+
+
+def test_together_after_a_join(spark):
+    """Rows of a key stay in one partition when the join before is changed at run time."""
+    from pyspark.sql import functions as F
+
+    new = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "100MB", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.nonEmptyPartitionRatioForBroadcastJoin": "0"}
+    old = {k: spark.conf.get(k, None) for k in new}
+    try:
+        for k, v in new.items():
+            spark.conf.set(k, v)
+        rows = cut(spark.range(0, 4000, 1, 6).select((F.col("id") % 100).alias("k")))
+        gone = cut(spark.range(0, 20, 1, 2).select((F.col("id") * 5).alias("k")))
+        left = rows.join(gone, "k", "left_anti")
+
+        def keys(batches):
+            seen = {k for b in batches for k in b["k"].to_pylist()}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.int64())], names=["k"])
+
+        assert together(left, "k").mapInArrow(keys, "k long").groupBy("k").count().filter("count > 1").count() == 0
+        assert left.repartition("k").mapInArrow(keys, "k long").groupBy("k").count().filter("count > 1").count() > 0  # why it is needed
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

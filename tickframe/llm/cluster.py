@@ -54,6 +54,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def together(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` with equal ``keys`` in one partition, sorted by them.
+
+    The partitions follow a hash of the keys, not the keys: after a join on the keys the
+    optimiser would take the join's partitions for these, and then give those up when it
+    turns the join into a broadcast one or splits it at run time.
+    """
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete shuffle and checkpoint files that nothing refers to any more."""
     gc.collect()

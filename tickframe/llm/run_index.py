@@ -34,12 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytestext as bt
-from .cluster import cut, prepare, release
+from .cluster import cut, prepare, release, together
 
 LENGTH, GRAM = 200, 16
 REACH = LENGTH - GRAM + 1
 PIECE = 1 << 19
 CROWD = 5000
+#: Up to so many crowded anchors (8 bytes each) are broadcast.
+FEW = 1 << 16
 #: A crowded anchor's windows are divided into 2 ** level cells; in the last step a cell is one window.
 LEVELS = (3, 6, 8)
 BLOCK = 56_000
@@ -272,8 +274,10 @@ def _index_matches(rows: DataFrame) -> DataFrame:
     rows = cut(rows)
     while True:
         crowded = cut(rows.groupBy("fp").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("fp"))
+        if crowded.count() <= FEW:  # else both sides are shuffled
+            crowded = F.broadcast(crowded)
         calm = rows.join(crowded, "fp", "left_anti")
-        found.append(cut(calm.repartition("fp").sortWithinPartitions("fp").mapInArrow(_indexed, kind)))
+        found.append(cut(together(calm, "fp").mapInArrow(_indexed, kind)))
         if crowded.isEmpty():
             break
         level = next(levels)  # after the last level a key is one window, which has one kind
