@@ -24,9 +24,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go, and documents of which nothing is left; n_chars follows the text."""
-    out = fuzzy_lines.drop_lines(docs, bits=None)
-    out = out.filter((F.col("_removed") == 0) | (F.length(F.trim(F.translate("text", "\t\n\r", "   "))) > 0))
-    return out.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    out = fuzzy_lines.line_results(docs)
+    out = out.filter((F.col("n_removed") == 0) | (F.length(F.trim(F.translate("text", "\t\n\r", "   "))) > 0))
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
+    new = {"text": F.col("text"), "n_chars": n_chars}
+    return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,27 +76,19 @@ def distance(a, b):
 
 
 def repeated_lines(rows, min_words=5):
-    """({doc_id: lines that go}, links between distinct lines) by comparing all pairs of lines."""
-    import numpy as np
-    import pyarrow as pa
-
-    from tickframe.llm import bytestext as bt
-    from tickframe.llm import fuzzy_lines
-
+    """({doc_id: lines that go}, links between distinct lines) by the edit distance of all pairs of lines."""
     units = []
     for i, t in rows:
         for k, line in enumerate((t or "").split("\n")):
             words = re.findall(r"[^\x20\x09-\x0D]+", lower(line))
-            if len(words) >= min_words:
+            if words:
                 units.append((i, k, tuple(words)))
     kinds = sorted({u[2] for u in units})
-    data, at = bt.flat(pa.array([" ".join(w) for w in kinds], pa.string()))
-    sim = fuzzy_lines.line_units(data, at, min_words)[3].view(np.uint64)
     links = []
-    for a in range(len(kinds)):
-        for b in range(a):
-            x, y = kinds[a], kinds[b]
-            if max(len(x), len(y)) <= 2000 and bin(int(sim[a]) ^ int(sim[b])).count("1") <= 3 and distance(x, y) <= int(0.2 * max(len(x), len(y)) + 1e-9):
+    for a, x in enumerate(kinds):
+        for b, y in enumerate(kinds[:a]):
+            most = int(0.2 * max(len(x), len(y)) + 1e-9)
+            if min(len(x), len(y)) >= min_words and abs(len(x) - len(y)) <= most and distance(x, y) <= most:
                 links.append((a, b))
     group = union_find(range(len(kinds)), links)
     number = {w: k for k, w in enumerate(kinds)}

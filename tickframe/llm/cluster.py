@@ -64,6 +64,23 @@ def together(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys)
 
 
+def copies(keys: DataFrame, rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """``rows`` without those that repeat all ``columns``, and the others (None if there is none).
+
+    ``keys`` has the same ``columns``, for a cheap search for repeats. Repeats are numbered
+    and the least number is found by an aggregate, so a row with very many copies is no group
+    in one task.
+    """
+    twice = cut(keys.groupBy(*columns).count().filter("count > 1").select(*[F.col(c).alias(f"_{c}") for c in columns]))
+    if twice.isEmpty():
+        return rows, None
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns]
+    numbered = cut(rows.join(twice, same, "left_semi").withColumn("_number", F.monotonically_increasing_id()))
+    least = cut(numbered.groupBy(*columns).agg(F.min("_number").alias("_number")).select("_number"))
+    first = numbered.join(least, "_number", "left_semi").drop("_number")
+    return rows.join(twice, same, "left_anti").unionByName(first), numbered.join(least, "_number", "left_anti").drop("_number")
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete shuffle and checkpoint files that nothing refers to any more."""
     gc.collect()

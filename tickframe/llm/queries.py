@@ -24,8 +24,8 @@ def op3_near_duplicates(spark, sf_dir):
 
 def op4_fuzzy_lines(spark, sf_dir):
     """doc_id, n_lines, n_removed and the SHA-256 of the text that is left."""
-    out = fuzzy_lines.drop_lines(table(spark, sf_dir, "documents"), bits=None)
-    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    out = fuzzy_lines.line_results(table(spark, sf_dir, "documents"))
+    return out.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 def op5_token_counts(spark, sf_dir):
