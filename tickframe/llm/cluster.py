@@ -25,6 +25,8 @@ def prepare(spark: SparkSession, batch_rows: int = 1000) -> None:
     if ROOT not in parts:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *parts])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+    # Shuffle files go when the action that wrote them ends; a stage that needs them again is repeated.
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def shared_folder(spark: SparkSession) -> str:
