@@ -2,9 +2,10 @@
 
 import random
 
+import pytest
 from common import docs, repeated_lines, shingles, union_find
 
-from tickframe.llm import fuzzy_lines, graph, minhash_forest
+from tickframe.llm import fuzzy_lines, graph, minhash_forest, neighbours
 
 
 def test_components(spark):
@@ -48,9 +49,37 @@ def test_near_duplicates(spark):
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want[r.doc_id], want[r.doc_id] == r.doc_id), r
     kept = minhash_forest.drop_near_duplicates(docs(spark, rows))
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert len({r.doc_id for r in kept.collect()}) == kept.count()  # of the row that is there twice, one
+    odd = docs(spark, rows[:20]).selectExpr("cast(doc_id AS int) AS doc_id", "text", "1 AS _kept", "2 AS id", "3 AS hash", "4 AS row", "5 AS _id", "6 AS _hash", "7 AS `a.b`")
+    assert {tuple(r)[2:] for r in minhash_forest.drop_near_duplicates(odd).collect()} == {(1, 2, 3, 4, 5, 6, 7)}
     assert minhash_forest.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_one_id_for_two_texts(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "pq")
+    out = minhash_forest.near_duplicates(docs(spark, [(1, a), (1, b), (2, b + " more"), (3, "else entirely different words here")])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in out) == [(1, 1), (1, 1), (2, 1), (3, 3)]
+
+
+@pytest.mark.parametrize("n, block, limit", [(30, 1024, 1 << 14), (300, 64, 100), (3000, 1024, 1 << 14)])
+def test_star(spark, monkeypatch, n, block, limit):
+    """Variants that are each linked with the first document, and hardly with each other, are one component."""
+    monkeypatch.setattr(minhash_forest, "BLOCK", block)
+    monkeypatch.setattr(neighbours, "LIMIT", limit)
+    rng = random.Random(n)
+    base = [f"b{k}" for k in range(100)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, n + 1):
+        words = list(base)
+        for k in rng.sample(range(4, 96), 2):
+            words[k] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+    sets = [shingles(t, 4) for _, t in rows]
+    assert all(100 * len(sets[0] & s) >= 80 * len(sets[0] | s) for s in sets)
+    out = minhash_forest.near_duplicates(docs(spark, rows).repartition(4))
+    assert {r.component_id for r in out.collect()} == {0}
+
+
 def test_fuzzy_lines(spark):
     rng = random.Random(4)
     vocab = [f"v{k}" for k in range(2000)]

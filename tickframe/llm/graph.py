@@ -33,3 +33,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         pairs = cut(small.unionByName(least.withColumnRenamed("m", "v")).filter("u != v").distinct())
         release(edges.sparkSession)
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def merged(reached: DataFrame, links: DataFrame) -> DataFrame:
+    """``reached`` (node, component) with the components ``ca`` and ``cb`` of each of ``links`` joined."""
+    top = components(links.select("ca", "cb").distinct(), "ca", "cb")
+    again = reached.join(top.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
+    return cut(again.select("node", F.coalesce("top", "component").alias("component")).unionByName(top))

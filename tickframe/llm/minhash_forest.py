@@ -2,22 +2,27 @@
 
 Every document has a MinHash signature of its set of word shingles. The forest keeps
 several orders of the signatures: each tree sorts all documents by its own sequence of
-signature values. Documents that share the first ``min_depth`` values are a region;
-neighbours in the order, which have the longest common prefixes, are the candidates, and
-crowded regions are divided by more values (adaptive depth).
+signature values. Documents that share the first ``MIN_DEPTH`` values are a region. All
+documents of a small region are candidates of each other. In a crowded one, the next ones in
+the order, which have the longest common prefixes, come first (adaptive depth).
 
 Documents with equal sets are one class first, so copies cost nothing more. Candidates are
 confirmed on the full sets: first one candidate per document, which joins most of a group,
-then every candidate whose ends are still in different components. The sets are built from
-the text again, only for documents that have a candidate.
+then every candidate whose ends are still in different components. In a crowded region that
+then has several components, blocks of documents are compared with blocks by their
+signatures, first for the nearest document and the least component of each, until no link is
+new, then for all that is left. The sets are built from the text again, only for documents
+that have a candidate.
 
 Recall: at similarity 0.8 two documents share three values in a tree with probability 0.51,
-so 16 trees miss a pair with probability 1e-5.
+so 16 trees miss a pair with probability 1e-5. Blocks pass a pair whose signatures agree in
+``AGREE`` of 64 values, which misses 5e-6.
 
 Defined cases: null and empty texts have an empty set and are linked with nothing; a text
 with fewer than ``size`` words has its whole sequence as its one shingle; equal rows share a
-component; a null doc_id is its own row with a null component and is kept; an empty table
-gives an empty result; only doc_id and text are read.
+component; rows that share an id and differ in text are linked by their own texts; a null
+doc_id is its own row with a null component and is kept; an empty table gives an empty
+result; only doc_id and text are read, other columns may have any name.
 """
 
 from __future__ import annotations
@@ -28,11 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytestext as bt
-from .cluster import cut, prepare, release
-from .graph import components
-from .neighbours import exploded, sorted_neighbours
+from .cluster import copies, cut, prepare, release, together
+from .graph import components, merged
+from .neighbours import chosen, exploded, sorted_neighbours
 
 VALUES, TREES, DEPTH, MIN_DEPTH = 64, 16, 10, 3
+AGREE, BLOCK = 36, 1024
 _rng = np.random.default_rng(77)
 MULTIPLY = (_rng.integers(0, 1 << 62, VALUES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 ADD = _rng.integers(0, 1 << 63, VALUES, dtype=np.uint64)
@@ -87,7 +93,7 @@ def _signed(size: int):
                     a, c = bt.mix(s + np.uint64(1)).sum(dtype=np.uint64), bt.mix(s ^ PLACE[7]).sum(dtype=np.uint64)
                     key.append(int(a).to_bytes(8, "big") + int(c).to_bytes(8, "big") + len(s).to_bytes(4, "big"))
                     sig.append(signature(s).astype(">u4").tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "key", "sig"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["row"], pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "row", "n_shingles", "key", "sig"])
 
     return run
 
@@ -97,7 +103,7 @@ def _sets(size: int):
         for b in batches:
             data, offsets = bt.flat(b["text"])
             sets = [s.tobytes() for i, j in bt.slices(offsets) for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)]
-            yield pa.RecordBatch.from_arrays([b["id"], pa.array(sets, pa.binary())], names=["id", "members"])
+            yield pa.RecordBatch.from_arrays([b["node"], pa.array(sets, pa.binary())], names=["node", "members"])
 
     return run
 
@@ -111,7 +117,7 @@ def _tree_keys(batch):
     return keys
 
 
-def _confirmer(share: int):
+def _confirmer(share: int, names: list[str]):
     def run(batches):
         for b in batches:
             good = []
@@ -124,60 +130,144 @@ def _confirmer(share: int):
                     common = int((p[place] == q).sum())
                 good.append(100 * common >= share * (len(p) + len(q) - common))
             mask = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b["a"].filter(mask), b["b"].filter(mask)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([b[c].filter(mask) for c in names], names=names)
 
     return run
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     prepare(pairs.sparkSession, 200)
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("left")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("right")), "b")
-    return cut(both.select("a", "b", "left", "right").mapInArrow(_confirmer(share), "a long, b long"))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("right")), "b")
+    kept = [f"{c} long" for c in pairs.columns]
+    return cut(both.select(*pairs.columns, "left", "right").mapInArrow(_confirmer(share, pairs.columns), ", ".join(kept)))
+
+
+def _blocks_met(every: bool):
+    """Candidates of different components from rows sorted by region, lo, hi: two blocks of a region, or one."""
+
+    def emit(rows):
+        ids, group, sig, k, lo, hi = rows
+        left, right = np.flatnonzero(k == lo), np.flatnonzero(k == hi)
+        kinds, size = np.unique(group, return_counts=True)
+        main = group == kinds[size.argmax()]
+        found = [np.zeros((0, 4), np.int64)]
+        # Most are of one component, whose pairs among themselves need no look.
+        for x, y in ((left[~main[left]], right), (left[main[left]], right[~main[right]])):
+            for one in np.array_split(x, len(x) * len(y) // (1 << 18) + 1):
+                if not len(one) or not len(y):
+                    continue
+                agree = np.zeros((len(one), len(y)), np.int8)
+                for v in range(VALUES):
+                    agree += sig[one, v][:, None] == sig[y, v]
+                i, j = np.nonzero((agree >= AGREE) & (group[one][:, None] != group[y]))
+                far = -agree[i, j].astype(np.int64)
+                i, j = one[i], y[j]
+                if not every and len(i):
+                    pick = np.unique(np.concatenate([chosen(i, group[j], far), chosen(j, group[i], far)]))
+                    i, j = i[pick], j[pick]
+                swap = ids[i] > ids[j]
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                found.append(np.stack([ids[i], ids[j], group[i], group[j]], 1))
+        found = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, k]) for k in range(4)], names=["a", "b", "ca", "cb"])
 
+    def run(batches):
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = [b["region"].to_numpy(), b["id"].to_numpy(), b["c"].to_numpy(), bt.flat(b["sig"])[0].view(">u4").astype(np.uint32).reshape(-1, VALUES), *[b[c].to_numpy() for c in ("k", "lo", "hi")]]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            region, lo, hi = held[0], held[5], held[6]
+            at = 0
+            for end in (np.flatnonzero((region[1:] != region[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1).tolist():
+                yield emit([x[at:end] for x in held[1:]])
+                at = end
+            held = [x[at:] for x in held]
+        if held is not None:
+            yield emit(held[1:])
 
-def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document.
+    return run
 
-    Documents are linked at ``percent`` of Jaccard similarity or more; component_id is the
-    smallest id that links reach.
-    """
+
+def _crowd_pairs(crowd: DataFrame, classes: DataFrame, reached: DataFrame, every: bool) -> DataFrame:
+    """Candidates (a, b) in crowded regions (region, id) that are in different components (ca, cb) so far."""
+    if not every:
+        lead = crowd.groupBy("id").agg(F.min("region").alias("x"), F.max("region").alias("y"))
+        crowd = crowd.join(lead, "id").filter("region = x or region = y").drop("x", "y")
+    rows = crowd.join(reached.select(F.col("node").alias("id"), "component"), "id", "left").select("region", "id", F.coalesce("component", "id").alias("c"))
+    mixed = rows.groupBy("region").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("least < most").select("region", "blocks")
+    rows = rows.join(cut(mixed), "region").join(classes.select(F.col("node").alias("id"), "sig"), "id")
+    rows = rows.withColumn("k", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("region", "id", "c", "sig", "k", F.least("k", "o").alias("lo"), F.greatest("k", "o").alias("hi"))
+    return together(rows, "region", "lo", "hi").mapInArrow(_blocks_met(every), "a long, b long, ca long, cb long").distinct()
+
+
+def _grouped(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, row, n_shingles, component_id, best) of every row; row: hash of the text, best: (doc_id, row) of the one that stays."""
     spark = docs.sparkSession
     prepare(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = cut(texts.mapInArrow(_signed(size), "doc_id long, n_shingles long, key binary, sig binary"))
+    text = F.col(f"`{text_col}`")
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
+    signed = cut(texts.mapInArrow(_signed(size), "doc_id long, row long, n_shingles long, key binary, sig binary"))
 
-    # One representative for each set; classes of one document and of many alike.
-    classes = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"))
-    classes = cut(classes)
+    # One node for each set, with its least document; sets of one document and of many alike.
+    classes = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "row")).alias("best"), F.first("sig").alias("sig"))
+    classes = cut(classes.select(F.xxhash64("key").alias("node"), "key", "best", "sig"))
     prepare(spark, 10_000)
-    pairs = cut(sorted_neighbours(exploded(classes.select("id", "sig"), _tree_keys), prefix=1 + 4 * MIN_DEPTH))
+    met = cut(sorted_neighbours(exploded(classes.select(F.col("node").alias("id"), "sig"), _tree_keys), prefix=1 + 4 * MIN_DEPTH))
+    pairs = cut(met.filter("b is not null").select("a", "b").distinct())
+    crowd = cut(met.filter("b is null").select(F.xxhash64("region").alias("region"), F.col("a").alias("id")))
     release(spark)
 
-    touched = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    touched = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowd.select("id")).distinct()
     prepare(spark)
-    # Rows that share an id are one node; the text of the class's key counts.
-    chosen = texts.select(F.col("doc_id").alias("id"), "text").join(touched, "id", "left_semi").dropDuplicates(["id"])
-    sets = cut(chosen.mapInArrow(_sets(size), "id long, members binary"))
+    wanted = classes.join(touched, "node", "left_semi").select("node", F.col("best.doc_id").alias("doc_id"), F.col("best.row").alias("row"))
+    sets = cut(texts.join(wanted, ["doc_id", "row"]).dropDuplicates(["node"]).select("node", "text").mapInArrow(_sets(size), "node long, members binary"))
     release(spark)
 
-    first = _confirmed(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, percent)
-    reached = components(first)
+    prepare(spark, 2000)
+    reached = components(_confirmed(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, percent))
     rest = pairs.join(reached.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(reached.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    rest = cut(rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
-    release(spark)
-    links = first.unionByName(_confirmed(rest, sets, percent))
-    reached = components(links)
-
-    named = cut(classes.select("key", "id").join(reached.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("component", "id").alias("component")))
+    rest = rest.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).filter("ca != cb")
+    rest = cut(rest.unionByName(_crowd_pairs(crowd, classes, reached, False)).distinct())
+    every = False
+    while True:
+        links = _confirmed(rest, sets, percent)
+        more = not links.isEmpty()
+        if more:
+            reached = merged(reached, links)
+        if every:
+            break
+        every = not more  # all candidates that are left come last
+        prepare(spark, 2000)
+        rest = cut(_crowd_pairs(crowd, classes, reached, every))
+        release(spark)
+
+    named = classes.select("node", "key", "best").join(reached, "node", "left").select("key", "best", F.coalesce("component", "node").alias("component"))
+    named = cut(named)
+    least = named.groupBy("component").agg(F.min("best").alias("best"))
     prepare(spark)
-    out = signed.drop("sig").join(named, "key", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), component)
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = signed.drop("sig").join(cut(named.select("key", "component").join(least, "component").select("key", "best")), "key", "left")
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    best = F.when(linked, F.col("best")).otherwise(F.struct("doc_id", "row"))
+    return out.select("doc_id", "row", "n_shingles", best.alias("best"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every document.
+
+    Documents are linked at ``percent`` of Jaccard similarity or more; component_id is the
+    smallest id that links reach.
+    """
+    out = _grouped(docs, size, percent, id_col, text_col)
+    return out.select("doc_id", "n_shingles", F.col("best.doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("best.doc_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group, with their columns."""
-    kept = near_duplicates(docs, size, percent).filter("kept").select("doc_id").distinct()
-    key = docs["doc_id"]
-    return docs.join(kept.withColumnRenamed("doc_id", "_kept"), key.eqNullSafe(F.col("_kept")), "left_semi")
+    """``docs`` with one row of each group, with their columns; of equal rows one stays."""
+    kept = _grouped(docs, size, percent, "doc_id", "text").filter("best.doc_id <=> doc_id and best.row = row").select(F.col("doc_id").alias("_id"), F.col("row").alias("_hash")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    rows = rows.join(cut(kept), F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left_semi")
+    once, _ = copies(docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash")), rows, ["id", "hash"])
+    return once.select("row.*")

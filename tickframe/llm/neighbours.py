@@ -1,9 +1,11 @@
-"""Candidate pairs among neighbours of a sorted order.
+"""Candidate pairs in regions of a sorted order.
 
 Rows (key, id) are range-partitioned and sorted by key, then id, so a very common key is
 spread over partitions like any other. Rows whose keys agree in their first bytes form a
-region; small regions give all their pairs, others the pairs of rows close to each other in
-the order, where longer common prefixes stand side by side.
+region. Small regions give all their pairs. Of others, which include those that a partition's
+end may have cut, every row gives the pairs with the next ones in the order, where longer
+common prefixes stand side by side, and comes out itself, so that the rest of the region's
+pairs can be looked at block by block.
 """
 
 from __future__ import annotations
@@ -12,94 +14,81 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+SMALL, NEAR, LIMIT = 16, 3, 1 << 14
 
-def _pairs(codes: np.ndarray, prefix: int, small: int, near: int, fixed: int):
-    """Index pairs (i < j) within one or more whole regions; codes: (rows, bytes), sorted.
 
-    A region with more than ``small`` rows is divided where a longer prefix (4 bytes more
-    at a time) differs, until its parts are small or keys end; its rows are also paired with
-    the ``near`` next ones.
-    """
-    n = len(codes)
-    if n < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    differs = codes[1:] != codes[:-1]
-    common = np.where(differs.any(1), differs.argmax(1), codes.shape[1])
-    left, right = [], []
+def chosen(item: np.ndarray, group: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """For each item its candidate in the least group, and the nearest one: indices."""
+    out = []
+    for order in (np.lexsort((far, group, item)), np.lexsort((group, far, item))):
+        ranked = item[order]
+        out.append(order[np.concatenate([[True], ranked[1:] != ranked[:-1]])])
+    return np.concatenate(out)
 
-    def region(depth: int):
-        new = np.concatenate([[True], common < depth])
-        start = np.flatnonzero(new)
-        return start, np.diff(np.append(start, n)), np.cumsum(new) - 1
-
-    start, size, of = region(prefix)
-    large = size[of] > small
-    if large.any():
-        for d in range(1, near + 1):
-            i = np.flatnonzero(large[:-d] & (of[:-d] == of[d:]))
-            left.append(i)
-            right.append(i + d)
-    depth, todo = prefix, np.ones(n, bool)
-    while True:
-        whole = todo & (size[of] <= small)
-        for d in range(1, small):
-            i = np.flatnonzero(whole[:-d] & (of[:-d] == of[d:]))
-            if not len(i):
-                break
-            left.append(i)
-            right.append(i + d)
-        todo &= ~whole
-        depth += 4
-        if depth > fixed or not todo.any():
+
+def _pairs(codes: np.ndarray, prefix: int, open_start: bool, open_end: bool):
+    """Index pairs (i < j) of neighbours, and which rows are of a large or an open region; codes are sorted."""
+    new = np.ones(len(codes), bool)
+    new[1:] = (codes[1:, :prefix] != codes[:-1, :prefix]).any(1)
+    start = np.flatnonzero(new)
+    size, of = np.diff(np.append(start, len(codes))), np.cumsum(new) - 1
+    large = size > SMALL
+    large[0] |= open_start
+    large[-1] |= open_end
+    large = large[of]
+    left, right = [], []
+    for d in range(1, SMALL):
+        i = np.flatnonzero((of[:-d] == of[d:]) & (~large[:-d] | (d <= NEAR)))
+        if not len(i):
             break
-        start, size, of = region(depth)
-    return np.concatenate(left or [np.zeros(0, np.int64)]), np.concatenate(right or [np.zeros(0, np.int64)])
+        left.append(i)
+        right.append(i + d)
+    none = np.zeros(0, np.int64)
+    return np.concatenate(left or [none]), np.concatenate(right or [none]), large
 
 
-def sorted_neighbours(rows: DataFrame, prefix: int, small: int = 8, near: int = 2, accept=None, partitions: int | None = None) -> DataFrame:
-    """Distinct pairs (a < b) of ids from rows (key binary of one length, id long).
+def sorted_neighbours(rows: DataFrame, prefix: int) -> DataFrame:
+    """From rows (key binary of one length, id long): pairs (a < b), and rows (a, region) of large regions.
 
-    ``accept(codes_i, codes_j)`` may refuse pairs by their keys. Memory is bounded: a region
-    longer than ``limit`` rows goes on by its order alone.
+    Memory is bounded: of a region of over ``LIMIT`` rows, only the last ``NEAR`` are held
+    when the others are out.
     """
-    limit = 1 << 14
-
-    def emit(codes, ids, keep_from):
-        i, j = _pairs(codes, prefix, small, near, codes.shape[1])
-        new = j >= keep_from
-        i, j = i[new], j[new]
-        if accept is not None and len(i):
-            good = accept(codes[i], codes[j])
-            i, j = i[good], j[good]
+
+    def emit(codes, ids, done, open_start, open_end):
+        """The first ``done`` rows are out already."""
+        i, j, large = _pairs(codes, prefix, open_start, open_end)
+        fresh = j >= done
+        i, j = i[fresh], j[fresh]
         a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-        pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0)
+        large[:done] = False
+        crowd = np.flatnonzero(large)
+        region = pa.array([bytes(x) for x in codes[crowd, :prefix]], pa.binary())
+        columns = [[pa.array(pairs[:, 0]), pa.array(ids[crowd])], [pa.array(pairs[:, 1]), pa.nulls(len(crowd), pa.int64())], [pa.nulls(len(pairs), pa.binary()), region]]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in columns], names=["a", "b", "region"])
 
     def run(batches):
         codes = ids = None
-        done = 0  # of the rows carried over, those whose pairs among themselves are out already
+        done, first = 0, True  # first: the held rows begin with a region that may have begun in another partition
         for batch in batches:
             if not batch.num_rows:
                 continue
-            raw = b"".join(batch["key"].to_pylist())
-            new = np.frombuffer(raw, np.uint8).reshape(batch.num_rows, -1)
+            new = np.frombuffer(b"".join(batch["key"].to_pylist()), np.uint8).reshape(batch.num_rows, -1)
             new_ids = batch["id"].to_numpy().astype(np.int64)
             codes = new if codes is None else np.concatenate([codes, new])
             ids = new_ids if ids is None else np.concatenate([ids, new_ids])
             last = (codes[:, :prefix] == codes[-1, :prefix]).all(1)
             cut = int(len(codes) - last.sum())
             if cut:
-                yield emit(codes[:cut], ids[:cut], done)
-                codes, ids, done = codes[cut:], ids[cut:], 0
-            if len(codes) > limit:
-                yield emit(codes, ids, done)
-                codes, ids, done = codes[-near:], ids[-near:], near
-        if codes is not None and len(codes):
-            yield emit(codes, ids, done)
+                yield emit(codes[:cut], ids[:cut], done, first, False)
+                codes, ids, done, first = codes[cut:], ids[cut:], 0, False
+            if len(codes) > LIMIT:
+                yield emit(codes, ids, done, True, True)
+                codes, ids, done, first = codes[-NEAR:], ids[-NEAR:], NEAR, True
+        if codes is not None:
+            yield emit(codes, ids, done, first, True)
 
-    parts = [] if partitions is None else [partitions]
-    placed = rows.repartitionByRange(*parts, "key", "id").sortWithinPartitions("key", "id")
-    return placed.mapInArrow(run, "a long, b long").distinct()
+    return rows.repartitionByRange("key", "id").sortWithinPartitions("key", "id").mapInArrow(run, "a long, b long, region binary")
 
 
 def exploded(rows: DataFrame, make, id_col: str = "id") -> DataFrame:
@@ -117,5 +106,3 @@ def exploded(rows: DataFrame, make, id_col: str = "id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([column, pa.array(np.tile(batch[id_col].to_numpy(), tables))], names=["key", "id"])
 
     return rows.mapInArrow(run, "key binary, id long")
-
-
