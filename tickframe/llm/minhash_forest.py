@@ -9,14 +9,13 @@ the order, which have the longest common prefixes, come first (adaptive depth).
 Documents with equal sets are one class first, so copies cost nothing more. Candidates are
 confirmed on the full sets: first one candidate per document, which joins most of a group,
 then every candidate whose ends are still in different components. In a crowded region that
-then has several components, blocks of documents are compared with blocks by their
-signatures, first for the nearest document and the least component of each, until no link is
-new, then for all that is left. The sets are built from the text again, only for documents
-that have a candidate.
+then has several components, all documents of different components are compared on their
+full sets, block by block as products of matrices; two blocks give no more links than join
+their components. The sets are built from the text again, only for documents that have a
+candidate.
 
 Recall: at similarity 0.8 two documents share three values in a tree with probability 0.51,
-so 16 trees miss a pair with probability 1e-5. Blocks pass a pair whose signatures agree in
-``AGREE`` of 64 values, which misses 5e-6.
+so 16 trees miss a pair with probability 1e-5.
 
 Defined cases: null and empty texts have an empty set and are linked with nothing; a text
 with fewer than ``size`` words has its whole sequence as its one shingle; equal rows share a
@@ -35,10 +34,11 @@ from pyspark.sql import functions as F
 from . import bytestext as bt
 from .cluster import copies, cut, prepare, release, together
 from .graph import components, merged
-from .neighbours import chosen, exploded, sorted_neighbours
+from .neighbours import exploded, sorted_neighbours
 
 VALUES, TREES, DEPTH, MIN_DEPTH = 64, 16, 10, 3
-AGREE, BLOCK = 36, 1024
+#: Documents and bytes of sets of a block, and shingles that are looked at together.
+BLOCK, BLOCK_BYTES, COLUMNS = 512, 1 << 23, 1 << 12
 _rng = np.random.default_rng(77)
 MULTIPLY = (_rng.integers(0, 1 << 62, VALUES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 ADD = _rng.integers(0, 1 << 63, VALUES, dtype=np.uint64)
@@ -142,65 +142,109 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     return cut(both.select(*pairs.columns, "left", "right").mapInArrow(_confirmer(share, pairs.columns), ", ".join(kept)))
 
 
-def _blocks_met(every: bool):
-    """Candidates of different components from rows sorted by region, lo, hi: two blocks of a region, or one."""
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of all left sets with all right ones, by products of 0-1 matrices."""
+    x, y = np.concatenate(left), np.concatenate(right)
+    columns = np.intersect1d(x, y)
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not len(columns):
+        return out
+
+    def places(values, sets):
+        at = np.minimum(np.searchsorted(columns, values), len(columns) - 1)
+        known = columns[at] == values
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[known]
+        order = np.argsort(at[known], kind="stable")
+        return at[known][order], row[order]
+
+    (xc, xr), (yc, yr) = places(x, left), places(y, right)
+    for lo in range(0, len(columns), COLUMNS):
+        hi = min(lo + COLUMNS, len(columns))
+        parts = []
+        for c, r, n in ((xc, xr, len(left)), (yc, yr, len(right))):
+            i, j = np.searchsorted(c, [lo, hi])
+            m = np.zeros((n, hi - lo), np.float32)
+            m[r[i:j], c[i:j] - lo] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Pairs (number, least number reached) of the components of the edges (a, b)."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    label = np.arange(len(names))
+    while True:
+        least = np.minimum(label[i], label[j])
+        now = label.copy()
+        np.minimum.at(now, i, least)
+        np.minimum.at(now, j, least)
+        now = now[now]
+        if (now == label).all():
+            break
+        label = now
+    moved = np.flatnonzero(label != np.arange(len(names)))
+    return np.stack([names[moved], names[label[moved]]], 1)
+
+
+def _blocks_met(share: int):
+    """From rows sorted by region, lo, hi: two blocks of a region, or one: links (ca, cb) that join the
+    components which documents of both link, on their full sets.
+    """
 
     def emit(rows):
-        ids, group, sig, k, lo, hi = rows
+        group, sets, k, lo, hi = rows
+        size = np.array([len(s) for s in sets])
         left, right = np.flatnonzero(k == lo), np.flatnonzero(k == hi)
-        kinds, size = np.unique(group, return_counts=True)
-        main = group == kinds[size.argmax()]
-        found = [np.zeros((0, 4), np.int64)]
+        kinds, count = np.unique(group, return_counts=True)
+        main = group == kinds[count.argmax()]
+        found = [np.zeros((0, 2), np.int64)]
         # Most are of one component, whose pairs among themselves need no look.
         for x, y in ((left[~main[left]], right), (left[main[left]], right[~main[right]])):
-            for one in np.array_split(x, len(x) * len(y) // (1 << 18) + 1):
-                if not len(one) or not len(y):
-                    continue
-                agree = np.zeros((len(one), len(y)), np.int8)
-                for v in range(VALUES):
-                    agree += sig[one, v][:, None] == sig[y, v]
-                i, j = np.nonzero((agree >= AGREE) & (group[one][:, None] != group[y]))
-                far = -agree[i, j].astype(np.int64)
-                i, j = one[i], y[j]
-                if not every and len(i):
-                    pick = np.unique(np.concatenate([chosen(i, group[j], far), chosen(j, group[i], far)]))
-                    i, j = i[pick], j[pick]
-                swap = ids[i] > ids[j]
-                i, j = np.where(swap, j, i), np.where(swap, i, j)
-                found.append(np.stack([ids[i], ids[j], group[i], group[j]], 1))
-        found = np.unique(np.concatenate(found), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, k]) for k in range(4)], names=["a", "b", "ca", "cb"])
+            if len(x) and len(y):
+                common = _common([sets[i] for i in x], [sets[i] for i in y]).astype(np.int64)
+                i, j = np.nonzero(100 * common >= share * (size[x][:, None] + size[y] - common))
+                found.append(np.stack([group[x[i]], group[y[j]]], 1))
+        found = np.concatenate(found)
+        return _spanning(found[:, 0], found[:, 1])
 
     def run(batches):
         held = None
         for b in batches:
             if not b.num_rows:
                 continue
-            new = [b["region"].to_numpy(), b["id"].to_numpy(), b["c"].to_numpy(), bt.flat(b["sig"])[0].view(">u4").astype(np.uint32).reshape(-1, VALUES), *[b[c].to_numpy() for c in ("k", "lo", "hi")]]
+            sets = np.empty(b.num_rows, object)
+            sets[:] = [np.frombuffer(x.as_buffer(), np.uint64) for x in b["members"]]
+            new = [b["region"].to_numpy(), b["c"].to_numpy(), sets, *[b[c].to_numpy() for c in ("k", "lo", "hi")]]
             held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            region, lo, hi = held[0], held[5], held[6]
-            at = 0
+            region, lo, hi = held[0], held[4], held[5]
+            at, out = 0, []
             for end in (np.flatnonzero((region[1:] != region[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1).tolist():
-                yield emit([x[at:end] for x in held[1:]])
+                out.append(emit([x[at:end] for x in held[1:]]))
                 at = end
             held = [x[at:] for x in held]
+            if out:
+                yield pairs_of(np.concatenate(out))
         if held is not None:
-            yield emit(held[1:])
+            yield pairs_of(emit(held[1:]))
+
+    def pairs_of(found):
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["ca", "cb"])
 
     return run
 
 
-def _crowd_pairs(crowd: DataFrame, classes: DataFrame, reached: DataFrame, every: bool) -> DataFrame:
-    """Candidates (a, b) in crowded regions (region, id) that are in different components (ca, cb) so far."""
-    if not every:
-        lead = crowd.groupBy("id").agg(F.min("region").alias("x"), F.max("region").alias("y"))
-        crowd = crowd.join(lead, "id").filter("region = x or region = y").drop("x", "y")
-    rows = crowd.join(reached.select(F.col("node").alias("id"), "component"), "id", "left").select("region", "id", F.coalesce("component", "id").alias("c"))
-    mixed = rows.groupBy("region").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("least < most").select("region", "blocks")
-    rows = rows.join(cut(mixed), "region").join(classes.select(F.col("node").alias("id"), "sig"), "id")
-    rows = rows.withColumn("k", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("region", "id", "c", "sig", "k", F.least("k", "o").alias("lo"), F.greatest("k", "o").alias("hi"))
-    return together(rows, "region", "lo", "hi").mapInArrow(_blocks_met(every), "a long, b long, ca long, cb long").distinct()
+def _crowd_links(crowd: DataFrame, sets: DataFrame, reached: DataFrame, share: int) -> DataFrame:
+    """Links (ca, cb) between the components so far of documents of one crowded region (region, id)."""
+    rows = crowd.join(sets.select(F.col("node").alias("id"), F.length("members").alias("bytes")), "id").join(reached.select(F.col("node").alias("id"), "component"), "id", "left")
+    rows = cut(rows.select("region", "id", "bytes", F.coalesce("component", "id").alias("c")))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
+    mixed = rows.groupBy("region").agg(F.min("c").alias("least"), F.max("c").alias("most"), blocks.alias("blocks")).filter("least < most").select("region", "blocks")
+    rows = rows.join(cut(mixed), "region").withColumn("k", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.join(sets.select(F.col("node").alias("id"), "members"), "id").select("region", "c", "members", "k", F.least("k", "o").alias("lo"), F.greatest("k", "o").alias("hi"))
+    prepare(rows.sparkSession, 200)
+    return cut(together(rows, "region", "lo", "hi").mapInArrow(_blocks_met(share), "ca long, cb long").distinct())
 
 
 def _grouped(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -229,20 +273,16 @@ def _grouped(docs: DataFrame, size: int, percent: int, id_col: str, text_col: st
     prepare(spark, 2000)
     reached = components(_confirmed(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, percent))
     rest = pairs.join(reached.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(reached.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    rest = rest.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).filter("ca != cb")
-    rest = cut(rest.unionByName(_crowd_pairs(crowd, classes, reached, False)).distinct())
-    every = False
-    while True:
-        links = _confirmed(rest, sets, percent)
-        more = not links.isEmpty()
-        if more:
-            reached = merged(reached, links)
-        if every:
-            break
-        every = not more  # all candidates that are left come last
-        prepare(spark, 2000)
-        rest = cut(_crowd_pairs(crowd, classes, reached, every))
+    rest = cut(rest.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).filter("ca != cb"))
+    release(spark)
+    reached = merged(reached, _confirmed(rest, sets, percent))
+    # Two regions of each document join most of what is left; then all regions that still have several components.
+    lead = crowd.groupBy("id").agg(F.min("region").alias("x"), F.max("region").alias("y"))
+    for some in (crowd.join(lead, "id").filter("region = x or region = y").select("region", "id"), crowd):
+        links = _crowd_links(some, sets, reached, percent)
         release(spark)
+        if not links.isEmpty():
+            reached = merged(reached, links)
 
     named = classes.select("node", "key", "best").join(reached, "node", "left").select("key", "best", F.coalesce("component", "node").alias("component"))
     named = cut(named)
