@@ -201,6 +201,20 @@ def step_diamond(spark, d):
     return g.run(rows).select("l_orderkey", "l_linenumber", *"efghi")
 
 
+@query("""SELECT l_orderkey, l_linenumber, round(CAST(l_quantity AS DOUBLE) + l_tax + l_discount, 9) AS total, CAST(CASE WHEN l_returnflag = 'R' THEN 2 ELSE 1 END AS DOUBLE) AS level FROM lineitem""")
+def layer_reconcile(spark, d):
+    """Steps of one layer write to the same columns: what they add is summed, of what they set the last one holds."""
+    add = lambda name, port: dag.Step(name, {"x": port}, {"out": "total"}, lambda i: {"out": i["x"]}, apply="add")
+    g = dag.Graph().add(
+        add("tax", "tax"),
+        add("discount", "discount"),
+        dag.Step("one", {"x": "tax"}, {"out": "level"}, lambda i: {"out": F.lit(1.0)}),
+        dag.Step("two", {"f": "flag"}, {"out": "level"}, lambda i: {"out": F.lit(2.0)}, when=lambda i: i["f"] == "R"),
+    )
+    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("total"), F.col("l_tax").alias("tax"), F.col("l_discount").alias("discount"), F.col("l_returnflag").alias("flag"), F.lit(0.0).alias("level"))
+    return g.run(rows).select("l_orderkey", "l_linenumber", F.round("total", 9).alias("total"), "level")
+
+
 @query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 2 ELSE o_totalprice END AS price, CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 2 ELSE o_totalprice END + 1 AS next FROM orders""")
 def step_guard_trigger(spark, d):
     """A guarded step changes some rows; a change of its column sets off the step that reads it, and no other."""

@@ -86,21 +86,22 @@ class Graph:
 
     def run(self, state: DataFrame, changed: set[str] | None = None) -> DataFrame:
         for layer in self.layers() if changed is None else self.triggered(changed):
+            # All steps of a layer read the state before it; what they write to one column is folded in their order.
             columns: dict[str, Column] = {}
             for name in layer:
-                columns |= self._outputs(self.steps[name], state)
+                columns |= self._outputs(self.steps[name], state, columns)
             state = state.withColumns(columns)
         return state
 
     @staticmethod
-    def _outputs(step: Step, state: DataFrame) -> dict[str, Column]:
+    def _outputs(step: Step, state: DataFrame, written: dict[str, Column]) -> dict[str, Column]:
         if step.draft:
             return {}
         ports = {p: F.col(c) if c in state.columns else F.lit(0.0) for p, c in step.inputs.items()}
         out = {}
         for port, value in step.compute(ports).items():
             name = step.outputs[port]
-            old = F.col(name) if name in state.columns else None
+            old = written.get(name, F.col(name) if name in state.columns else None)
             if step.apply == "add" and old is not None:
                 value = F.coalesce(old, F.lit(0.0)) + value
             if step.when is not None:
