@@ -1,7 +1,7 @@
 """DuckDB SQL with the results of the queries that SQL can express.
 
 The others are tested against brute force in tests/llm: learned scores (op1, op6, op7), a
-random rounding (op2), SimHash links (op4) and a tokenizer (op5) have no SQL.
+random rounding (op2), edit distances of lines (op4) and a tokenizer (op5) have no SQL.
 """
 
 from .exact_dedup import OP8_SQL
