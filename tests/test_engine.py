@@ -222,3 +222,10 @@ def test_streams(spark, tmp_path):
     win = stateful.windowed(source, "t", "10 minutes", "1 hour", ["key"], [F.sum("v").alias("total")])
     table = stateful.to_table(win, "windows", "complete", str(tmp_path / "c2"))
     assert table.count() == 9 and table.agg(F.sum("total").alias("s")).first().s == 435.0
+
+
+def test_varying_intervals_say_when_they_stop_short(spark):
+    run = lambda most: clock.varying_intervals(spark.range(1), 1.0, F.lit(1.0), F.lit(0.1), lambda x, _: x + 1, lambda _: F.lit(0.1), most).collect()
+    assert run(20)[0].fires == 10
+    with pytest.raises(Exception, match="not at the end after 5 fires"):
+        run(5)

@@ -82,7 +82,10 @@ def loop(state: DataFrame, ticks: int, step: Callable[[DataFrame, int], DataFram
 
 
 def varying_intervals(df: DataFrame, end: float, initial: Column, interval: Column, step: Callable[[Column, Column], Column], adapt: Callable[[Column], Column], most: int = 10_000) -> DataFrame:
-    """Rows on clocks of their own: the state sets the next interval. Adds time, state, interval, fires."""
+    """Rows on clocks of their own: the state sets the next interval. Adds time, state, interval, fires.
+
+    A row that is not at ``end`` after ``most`` fires is an error.
+    """
     start = F.struct(F.lit(0.0).alias("time"), initial.cast("double").alias("state"), interval.cast("double").alias("interval"), F.lit(0).cast("long").alias("fires"))
 
     def advance(s, _):
@@ -90,7 +93,9 @@ def varying_intervals(df: DataFrame, end: float, initial: Column, interval: Colu
         new = step(s["state"], s["interval"]).cast("double")
         return F.when(due, F.struct((s["time"] + s["interval"]).alias("time"), new.alias("state"), adapt(new).cast("double").alias("interval"), (s["fires"] + 1).alias("fires"))).otherwise(s)
 
-    return df.withColumn("_run", F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, advance)).select(*df.columns, "_run.*")
+    return df.withColumn("_run", F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, advance)).select(
+        *df.columns, F.when(F.col("_run.time") + F.col("_run.interval") <= end + 1e-9, F.raise_error(F.lit(f"not at the end after {most} fires"))).otherwise(F.col("_run")).alias("_run")
+    ).select(*df.columns, "_run.*")
 
 
 def recursive_closure(spark: SparkSession, edges: DataFrame, seeds: DataFrame, most: int = 100) -> DataFrame:
