@@ -229,3 +229,38 @@ def test_varying_intervals_say_when_they_stop_short(spark):
     assert run(20)[0].fires == 10
     with pytest.raises(Exception, match="not at the end after 5 fires"):
         run(5)
+
+
+def _diamonds(spark, n):
+    return spark.createDataFrame([e for k in range(n) for e in ((f"{k}", f"{k}a"), (f"{k}", f"{k}b"), (f"{k}a", f"{k + 1}"), (f"{k}b", f"{k + 1}"))], "upstream string, node string")
+
+
+def test_closure_counts_a_node_once_whatever_the_ways_to_it(spark):
+    edges = _diamonds(spark, 22).unionByName(spark.createDataFrame([("22", "0")], "upstream string, node string"))
+    got = {r.node: r.depth for r in clock.recursive_closure(edges, spark.createDataFrame([("0",)], "node string")).collect()}
+    assert len(got) == 67 and got["22"] == 44 and got["0"] == 0 and got["7b"] == 15
+
+
+def test_layers_take_the_longest_way_and_name_a_cycle(spark):
+    edges = _diamonds(spark, 6).unionByName(spark.createDataFrame([("0", "6"), ("x", "1a")], "upstream string, node string"))
+    got = {r.node: r.layer for r in clock.depth_layers(edges, spark.createDataFrame([("alone",)], "node string")).collect()}
+    assert (got["6"], got["x"], got["1a"], got["alone"], len(got)) == (12, 0, 3, 0, 21)
+    with pytest.raises(ValueError, match="a cycle holds p, q"):
+        clock.depth_layers(spark.createDataFrame([("p", "q"), ("q", "p"), ("z", "p")], "upstream string, node string"), spark.createDataFrame([], "node string"))
+
+
+def test_simulation_takes_every_match_at_its_rate(spark):
+    rows = [(str(run), *n) for run in range(400) for n in (("b", None, "building"), ("m", "b", "agent"), ("n", "b", "agent"), ("x", "b", "room"), ("y", "b", "room"))]
+    nodes = spark.createDataFrame(rows, "run string, node string, parent string, control string")
+    rules = [rewrite.MoveRule("enter", "agent", "building", "room", 1.0), rewrite.MoveRule("pair", "agent", "building", "agent", 2.0)]
+    first = [e for e in rewrite.gillespie(nodes, rules, 50.0, seed=3).collect() if e.event == 0]
+    count = {}
+    for e in first:
+        count[e.node, e.target] = count.get((e.node, e.target), 0) + 1
+    # Four ways at rate 1 and two at rate 2: eight in all.
+    assert set(count) == {(a, t) for a in "mn" for t in "xy"} | {("m", "n"), ("n", "m")}
+    assert all(abs(c / 400 - (0.25 if t in "mn" else 0.125)) < 0.08 for (_, t), c in count.items())
+    mean = sum(e.time for e in first) / len(first)
+    assert abs(mean - 1 / 8) < 0.03
+    with pytest.raises(Exception, match="not at the end after 1 events"):
+        rewrite.gillespie(nodes, rules, 50.0, most=1, seed=3).collect()

@@ -5,7 +5,6 @@ Money columns are summed as decimals, so sums are exact and don't depend on row
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -46,8 +45,7 @@ def micros(column: str = "ts") -> Column:
 
 def shared(spark: SparkSession, name: str) -> str:
     """A fresh folder in the shared checkpoint folder (a local one only where none is set)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="tickframe-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    return f"{clock.shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # --- flow -----------------------------------------------------------------------------
@@ -88,13 +86,13 @@ def flow_join_multi(spark, d):
     return flow.join(left, right, ["key", "status"])
 
 
-@query("""WITH l AS (SELECT CASE WHEN c_custkey % 50 = 0 THEN NULL ELSE c_custkey % 7 END AS k, c_custkey AS a FROM customer WHERE c_custkey < 400),
-r AS (SELECT CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_suppkey % 7 END AS k, s_suppkey AS b FROM supplier WHERE s_suppkey < 60)
+@query("""WITH l AS (SELECT CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE o_custkey END AS k, o_orderkey AS a FROM orders),
+r AS (SELECT CASE WHEN c_custkey = 1 THEN NULL ELSE c_custkey END AS k, c_name AS b FROM customer)
 SELECT l.k, a, b FROM l JOIN r ON l.k IS NOT DISTINCT FROM r.k""")
 def flow_join_nullsafe(spark, d):
-    key = lambda c, n: F.when(F.col(c) % n != 0, F.col(c) % 7).alias("k")
-    left = read(spark, d, "customer").filter("c_custkey < 400").select(key("c_custkey", 50), F.col("c_custkey").alias("a"))
-    right = read(spark, d, "supplier").filter("s_suppkey < 60").select(key("s_suppkey", 5), F.col("s_suppkey").alias("b"))
+    """Orders without a customer meet the one customer without a key."""
+    left = read(spark, d, "orders").select(F.when(F.col("o_orderkey") % 50 != 0, F.col("o_custkey")).alias("k"), F.col("o_orderkey").alias("a"))
+    right = read(spark, d, "customer").select(F.when(F.col("c_custkey") != 1, F.col("c_custkey")).alias("k"), F.col("c_name").alias("b"))
     return flow.join(left, right, ["k"])
 
 
@@ -392,10 +390,10 @@ def emit_parquet_store(spark, d):
     return history.read_parquet(spark, folder, runs_wanted=[3, 5]).select(F.col("simulation_id").cast("long").alias("simulation_id"), "step", "value")
 
 
-@query("SELECT event_id AS step, user_id AS simulation_id, value FROM events WHERE event_id < 500")
+@query("SELECT event_id AS step, user_id AS simulation_id, value FROM events")
 def emit_json_store(spark, d):
     folder = shared(spark, "json")
-    history.write_json(read(spark, d, "events").filter("event_id < 500").select(F.col("event_id").alias("step"), F.col("user_id").alias("simulation_id"), "value"), folder)
+    history.write_json(read(spark, d, "events").select(F.col("event_id").alias("step"), F.col("user_id").alias("simulation_id"), "value"), folder)
     return history.read_json(spark, folder, "step long, simulation_id long, value double")
 
 
@@ -413,12 +411,12 @@ def timeseries_wide(spark, d):
     return out.select("user_id", F.size("value").cast("long").alias("n"), F.element_at("value", 1).alias("first_value"), F.element_at("value", -1).alias("last_value"))
 
 
-@query("""SELECT o_orderstatus, string_agg(o_orderkey || '=' || CAST(floor(o_totalprice) AS BIGINT), ',' ORDER BY CAST(o_orderkey AS VARCHAR)) AS results FROM orders WHERE o_orderkey < 200 GROUP BY o_orderstatus""")
+@query("""SELECT o_custkey, string_agg(o_orderkey || '=' || CAST(floor(o_totalprice) AS BIGINT), ',' ORDER BY CAST(o_orderkey AS VARCHAR)) AS results FROM orders GROUP BY o_custkey""")
 def scatter_gather(spark, d):
-    o = read(spark, d, "orders").filter("o_orderkey < 200")
-    found = o.select("o_orderstatus", F.col("o_orderkey").cast("string").alias("match_key"), F.floor("o_totalprice").cast("bigint").cast("string").alias("result"))
-    maps = sweep.gather(found, ["o_orderstatus"], "result")
-    return maps.select("o_orderstatus", F.array_join(F.transform(F.array_sort(F.map_entries("result")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("results"))
+    o = read(spark, d, "orders")
+    found = o.select("o_custkey", F.col("o_orderkey").cast("string").alias("match_key"), F.floor("o_totalprice").cast("bigint").cast("string").alias("result"))
+    maps = sweep.gather(found, ["o_custkey"], "result")
+    return maps.select("o_custkey", F.array_join(F.transform(F.array_sort(F.map_entries("result")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("results"))
 
 
 # --- analysis -------------------------------------------------------------------------
@@ -605,14 +603,14 @@ def _edges(spark, d):
 SELECT root, node, min(depth) AS depth FROM t GROUP BY root, node""")
 def downstream_closure(spark, d):
     seeds = read(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"))
-    return clock.recursive_closure(spark, _edges(spark, d), seeds)
+    return clock.recursive_closure(_edges(spark, d), seeds)
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, t(node, layer) AS (SELECT 'r' || r_regionkey, 0 FROM region UNION ALL SELECT e.node, layer + 1 FROM t JOIN e ON e.upstream = t.node) SELECT node, max(layer) AS layer FROM t GROUP BY node""")
 def topo_layers(spark, d):
     edges = _edges(spark, d)
     nodes = edges.select("node").union(edges.select("upstream")).distinct()
-    return clock.depth_layers(spark, edges, nodes)
+    return clock.depth_layers(edges, nodes)
 
 
 @query("""WITH RECURSIVE t(tick, agent, mass) AS (SELECT 0, s_name, s_acctbal / 1000 + 3 FROM supplier UNION ALL
@@ -658,7 +656,7 @@ def template_trigger(spark, d):
     return spark.createDataFrame(list(done.items()), "study string, action string")
 
 
-@query("""WITH RECURSIVE t(tick, run, agent, v, g, s) AS (SELECT 0, s_nationkey % 3, s_name, (s_suppkey % 7 - 3) * 0.75::DOUBLE, (s_suppkey % 5 - 1) * 0.5::DOUBLE, 0.8::DOUBLE FROM supplier WHERE s_suppkey < 30
+@query("""WITH RECURSIVE t(tick, run, agent, v, g, s) AS (SELECT 0, s_suppkey // 12, s_name, (s_suppkey % 7 - 3) * 0.75::DOUBLE, (s_suppkey % 5 - 1) * 0.5::DOUBLE, 0.8::DOUBLE FROM supplier
 UNION ALL (WITH c AS (SELECT *, v < -3 AS low, v + g < -3 AS leaves, count(*) OVER w AS n, sum(CASE WHEN v < -3 THEN 1 ELSE 0 END) OVER w AS lows, sum(CASE WHEN v + g < -3 THEN 0 ELSE 1 END) OVER w AS stay FROM t WINDOW w AS (PARTITION BY run)),
 k AS (SELECT *, NOT (lows - CAST(low AS INT) > 0) AND v + g > 3 AND n < 15 AND s <> 0 AS spawns FROM c WHERE NOT (leaves OR (low AND stay - CAST(NOT leaves AS INT) > 0)))
 SELECT tick + 1, run, CASE WHEN i = 1 THEN agent || '_' || (tick + 1) ELSE agent END, CASE WHEN spawns THEN 0.5::DOUBLE ELSE v + g END, CASE WHEN i = 1 THEN s ELSE g END,
@@ -667,8 +665,8 @@ SELECT CAST(run AS INTEGER) AS run, agent, v AS value, g AS growth FROM t WHERE
 def dynamic_pool(spark, d):
     """Members that grow, spawn and remove each other for eight ticks."""
     key = F.col("s_suppkey")
-    start = read(spark, d, "supplier").filter("s_suppkey < 30").select(
-        (F.col("s_nationkey") % 3).alias("run"), F.col("s_name").alias("agent"), ((key % 7 - 3) * 0.75).alias("value"), ((key % 5 - 1) * 0.5).alias("growth"), F.lit(0.8).alias("spawn_growth")
+    start = read(spark, d, "supplier").select(
+        F.floor(key / 12).cast("int").alias("run"), F.col("s_name").alias("agent"), ((key % 7 - 3) * 0.75).alias("value"), ((key % 5 - 1) * 0.5).alias("growth"), F.lit(0.8).alias("spawn_growth")
     )
     return clock.loop(start, 8, pool.pool_tick, every=3).select("run", "agent", "value", "growth")
 
@@ -689,10 +687,10 @@ def creation_annihilation(spark, d):
     return pool.create_and_annihilate(read(spark, d, "supplier").select("s_name", "s_acctbal"), "s_name", 0.2, 0.1, 5)
 
 
-@query("""SELECT s_suppkey, CASE WHEN s_acctbal > 5000 THEN greatest(s_acctbal - 750, 0.0::DOUBLE) ELSE CASE WHEN 5000 - s_acctbal < 750 THEN 5000.0::DOUBLE ELSE greatest(s_acctbal + 750, 0.0::DOUBLE) END END AS position FROM (SELECT * FROM supplier WHERE abs(s_acctbal - 5000) > 750)""")
+@query("""SELECT s_suppkey, CASE WHEN s_acctbal >= 4250 AND s_acctbal <= 5750 THEN 50000000 WHEN s_acctbal > 5750 THEN least(round(s_acctbal * 10000) - 7500000, 100000000) ELSE greatest(round(s_acctbal * 10000) + 7500000, 0) END / 10000 AS position FROM supplier""")
 def move_toward(spark, d):
-    s = read(spark, d, "supplier").filter("abs(s_acctbal - 5000) > 750")
-    return s.select("s_suppkey", motion.move_toward(F.col("s_acctbal"), F.lit(5000.0), 750.0, 0.0, 10000.0).alias("position"))
+    s = read(spark, d, "supplier")
+    return s.select("s_suppkey", scalar.rounded(motion.move_toward(F.col("s_acctbal"), F.lit(5000.0), 750.0, 0.0, 10000.0), 4).alias("position"))
 
 
 @query("""SELECT s_suppkey, floor(s_acctbal / 1000 * exp(-0.5) * 10000 + 0.5) / 10000 AS x FROM supplier""")
@@ -712,9 +710,9 @@ def load_runs(spark, d):
     return found.select("simulation_id", "step", F.format_string("%s (%s)", "label", "units").alias("label"), "value")
 
 
-@query("""SELECT s_suppkey, '{"s_acctbal":' || s_acctbal || ',"s_name":"' || s_name || '"}' AS state FROM supplier WHERE s_acctbal <> floor(s_acctbal) AND abs(s_acctbal) > 1""")
+@query("""SELECT s_suppkey, '{"s_acctbal":' || CAST(s_acctbal AS DECIMAL(18,2)) || ',"s_name":"' || s_name || '"}' AS state FROM supplier""")
 def state_json(spark, d):
-    s = read(spark, d, "supplier").filter("s_acctbal != floor(s_acctbal) and abs(s_acctbal) > 1").select("s_suppkey", "s_name", "s_acctbal")
+    s = read(spark, d, "supplier").select("s_suppkey", "s_name", F.col("s_acctbal").cast("decimal(18,2)").alias("s_acctbal"))
     return history.state_json(s, ["s_suppkey"])
 
 
@@ -727,13 +725,13 @@ def view_project(spark, d):
     return g.run(history.query_paths(rows, ["p_partkey", "store.inner.price"])).select("p_partkey", "shown")
 
 
-@query("""SELECT 'first' AS run, p_partkey, p_size * 3.0::DOUBLE AS level, false AS cache_hit FROM part WHERE p_partkey < 40 UNION ALL SELECT 'second', p_partkey, p_size * 3.0::DOUBLE, p_partkey < 40 FROM part WHERE p_partkey < 60""")
+@query("""SELECT 'first' AS run, p_partkey, p_size * 3.0::DOUBLE AS level, false AS cache_hit FROM part WHERE p_size <= 25 UNION ALL SELECT 'second', p_partkey, p_size * 3.0::DOUBLE, p_size <= 25 FROM part""")
 def sweep_store(spark, d):
-    """A sweep run twice over one store: the second run computes only what is new."""
+    """A sweep of the small parts, then one of all over the same store: it computes only what is new."""
     store = artifacts.Store(spark, shared(spark, "sweep"))
     compute = lambda m: m.withColumn("level", F.col("p_size") * 3.0)
     part = read(spark, d, "part").select("p_partkey", "p_size")
-    out = [workflow.sweep_with_store(part.filter(F.col("p_partkey") < n), "levels", ["p_partkey", "p_size"], compute, store).select(F.lit(run).alias("run"), "p_partkey", "level", "cache_hit") for run, n in (("first", 40), ("second", 60))]
+    out = [workflow.sweep_with_store(part.filter(which), "levels", ["p_partkey", "p_size"], compute, store).select(F.lit(run).alias("run"), "p_partkey", "level", "cache_hit") for run, which in (("first", F.col("p_size") <= 25), ("second", F.lit(True)))]
     return out[0].unionByName(out[1])
 
 

@@ -51,15 +51,17 @@ def fire(nodes: DataFrame, picked: DataFrame) -> DataFrame:
     return nodes.join(moved, ["run", "node"], "left").withColumn("parent", F.coalesce("_target", "parent")).drop("_target")
 
 
-def gillespie(nodes: DataFrame, rules: list[MoveRule], interval: float, most: int = 1000, seed: int = 0) -> DataFrame:
+def gillespie(nodes: DataFrame, rules: list[MoveRule], interval: float, most: int = 100_000, seed: int = 0) -> DataFrame:
     """(run, event, time, label, node, target): exact stochastic simulation of each run over ``interval``.
 
     Rates depend on the state after each event, so a run is simulated by one task; runs are
-    spread over tasks. Draws are seeded by run, so reruns agree.
+    spread over tasks. An event changes the match counts of two parents only. Draws are seeded
+    by run, so reruns agree. A run that is not at its end after ``most`` events is an error.
     """
     import hashlib
     import math
     import random
+    from bisect import insort
 
     import pandas as pd
 
@@ -67,28 +69,45 @@ def gillespie(nodes: DataFrame, rules: list[MoveRule], interval: float, most: in
         run = pdf["run"].iloc[0]
         rng = random.Random(int.from_bytes(hashlib.sha256(f"{seed}:{run}".encode()).digest()[:8], "big"))
         place, kind = dict(zip(pdf["node"], pdf["parent"], strict=True)), dict(zip(pdf["node"], pdf["control"], strict=True))
+        inside: dict = {}
+        for n in sorted(place):
+            inside.setdefault(place[n], {}).setdefault(kind[n], []).append(n)
+        rate: dict = {}
+
+        def count(p):
+            for k, r in enumerate(rules):
+                if kind.get(p) == r.inside:
+                    here = inside.get(p, {})
+                    rate[k, p] = r.rate * len(here.get(r.control, ())) * max(0, len(here.get(r.into, ())) - (r.control == r.into))
+
+        for p in sorted(p for p in inside if p in kind):
+            count(p)
         t, events = 0.0, []
-        while len(events) < most:
-            found = [
-                (r, n, s)
-                for r in rules
-                for n in sorted(place)
-                if kind[n] == r.control and kind.get(place[n]) == r.inside
-                for s in sorted(x for x in place if x != n and place[x] == place[n] and kind[x] == r.into)
-            ]
-            total = sum(r.rate for r, _, _ in found)
-            if total <= 0:
-                break
+        while (total := sum(rate.values())) > 0:
             t += -math.log(1.0 - rng.random()) / total
             if t > interval:
                 break
+            if len(events) == most:
+                raise ValueError(f"run {run}: not at the end after {most} events")
             left = rng.random() * total
-            for r, n, s in found:  # noqa: B007
-                left -= r.rate
-                if left <= 0:
+            possible = [x for x in rate if rate[x] > 0]
+            for x in possible:
+                if left < rate[x]:
                     break
+                left -= rate[x]
+            rule, p = rules[x[0]], x[1]
+            movers, targets = inside[p][rule.control], inside[p][rule.into]
+            same = rule.control == rule.into
+            others = len(targets) - same
+            pair = min(int(left / rule.rate), len(movers) * others - 1)
+            i, j = divmod(pair, others)
+            n, s = movers[i], targets[j + (same and j >= i)]
+            movers.remove(n)
+            insort(inside.setdefault(s, {}).setdefault(kind[n], []), n)
             place[n] = s
-            events.append((run, len(events), t, r.label, n, s))
+            count(p)
+            count(s)
+            events.append((run, len(events), t, rule.label, n, s))
         return pd.DataFrame(events, columns=["run", "event", "time", "label", "node", "target"])
 
     return nodes.groupBy("run").applyInPandas(simulate, "run string, event long, time double, label string, node string, target string")

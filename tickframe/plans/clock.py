@@ -58,11 +58,20 @@ def running_state(deltas: DataFrame, keys: list[str], time: list[str], delta: st
     return deltas.withColumn("state", F.sum(delta).over(order))
 
 
+def shared_root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a temporary folder where it is unset and Spark runs in one process."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir", "")
+    if not folder and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return folder or tempfile.mkdtemp(prefix="tickframe-")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the plan in the shared checkpoint folder of the session (one of our own only if none is set)."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="tickframe-"))
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()
 
 
@@ -98,28 +107,41 @@ def varying_intervals(df: DataFrame, end: float, initial: Column, interval: Colu
     ).select(*df.columns, "_run.*")
 
 
-def recursive_closure(spark: SparkSession, edges: DataFrame, seeds: DataFrame, most: int = 100) -> DataFrame:
-    """(root, node, depth): everything downstream of each seed, by the shortest way, as one recursive query.
+def recursive_closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(root, node, depth): everything downstream of each seed, by the shortest way.
 
-    ``edges`` is (upstream, node) without cycles, ``seeds`` is (node).
+    ``edges`` is (upstream, node), ``seeds`` is (node). A round takes only what the round before
+    reached first, so many ways to one node count once, cycles end and no depth is too much.
+    """
+    edges = checkpointed(edges.select("upstream", "node").distinct())
+    new = checkpointed(seeds.select(F.col("node").alias("root"), "node").distinct().withColumn("depth", F.lit(0)))
+    reached, depth = new, 0
+    while not new.isEmpty():
+        depth += 1
+        step = new.select("root", F.col("node").alias("upstream")).join(edges, "upstream").select("root", "node").distinct()
+        new = checkpointed(step.join(reached, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        reached = reached.unionByName(new)
+        if depth % 10 == 0:
+            reached = checkpointed(reached)
+    return reached
+
+
+def depth_layers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, layer): the longest way from a node without dependencies, for ``nodes`` and the ends of ``edges``.
+
+    ValueError on a cycle.
     """
-    edges.createOrReplaceTempView("_tickframe_edges")
-    seeds.createOrReplaceTempView("_tickframe_seeds")
-    return spark.sql(f"""
-        WITH RECURSIVE reach(root, node, depth) MAX RECURSION LEVEL {most} AS (
-          SELECT node AS root, node, 0 AS depth FROM _tickframe_seeds
-          UNION ALL
-          SELECT r.root, e.node, r.depth + 1 FROM reach r JOIN _tickframe_edges e ON e.upstream = r.node)
-        SELECT root, node, min(depth) AS depth FROM reach GROUP BY root, node""")
-
-
-def depth_layers(spark: SparkSession, edges: DataFrame, nodes: DataFrame, most: int = 100) -> DataFrame:
-    """(node, layer): the longest way from a node without dependencies."""
-    edges.createOrReplaceTempView("_tickframe_edges")
-    nodes.createOrReplaceTempView("_tickframe_nodes")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(node, layer) MAX RECURSION LEVEL {most} AS (
-          SELECT n.node, 0 AS layer FROM _tickframe_nodes n LEFT ANTI JOIN _tickframe_edges e ON e.node = n.node
-          UNION ALL
-          SELECT e.node, w.layer + 1 FROM walk w JOIN _tickframe_edges e ON e.upstream = w.node)
-        SELECT node, max(layer) AS layer FROM walk GROUP BY node""")
+    left = checkpointed(edges.select("upstream", "node").distinct())
+    todo = checkpointed(nodes.select("node").union(left.select("node")).union(left.select("upstream")).distinct())
+    layers, layer = todo.withColumn("layer", F.lit(0)).limit(0), 0
+    while not todo.isEmpty():
+        ready = checkpointed(todo.join(left, "node", "left_anti"))
+        if ready.isEmpty():
+            raise ValueError(f"a cycle holds {', '.join(str(r.node) for r in todo.orderBy('node').limit(5).collect())}")
+        layers = layers.unionByName(ready.withColumn("layer", F.lit(layer)))
+        todo = checkpointed(todo.join(ready, "node", "left_anti"))
+        left = checkpointed(left.join(ready.select(F.col("node").alias("upstream")), "upstream", "left_anti"))
+        layer += 1
+        if layer % 10 == 0:
+            layers = checkpointed(layers)
+    return layers

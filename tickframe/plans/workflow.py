@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,25 +56,18 @@ def addressed(matches: DataFrame, name: str, config: list[str], commit: str = ""
 def sweep_with_store(matches: DataFrame, name: str, config: list[str], compute: Callable[[DataFrame], DataFrame], store: Store) -> DataFrame:
     """(match columns, outputs, address, cache_hit): stored matches are read, the others computed in one job and stored.
 
-    ``compute`` adds columns to the matches it is given.
+    ``compute`` adds columns to the matches it is given. Every run adds one part to the store
+    and never rewrites another, so a run that is lost leaves what others stored.
     """
     wanted = addressed(matches, name, config)
     key = f"sweep-{name}"
-    held = store.read(key) if store.has(key) else None
-    if held is None:
-        new, old = compute(wanted), None
-    else:
-        old = wanted.select("address").join(held, "address").withColumn("cache_hit", F.lit(True))
-        new = compute(wanted.join(held.select("address"), "address", "left_anti"))
-    new = new.withColumn("cache_hit", F.lit(False))
-    out = new if old is None else old.select(*new.columns).unionByName(new)
-    version = f"{key}-{int(time.time() * 1e6)}"
-    out = store.write(version, out)
-    rows = out.drop("cache_hit")
-    kept = rows if held is None else held.join(rows.select("address"), "address", "left_anti").select(*rows.columns).unionByName(rows)
-    staged = store.write(f"{version}-all", kept)
-    store.write(key, staged)
-    return out
+    parts = [store.read(p) for p in store.parts(key)]
+    if not parts:
+        return store.write(f"{key}/{uuid.uuid4().hex}", compute(wanted)).withColumn("cache_hit", F.lit(False))
+    held = reduce(DataFrame.unionByName, parts).dropDuplicates(["address"])
+    new = store.write(f"{key}/{uuid.uuid4().hex}", compute(wanted.join(held.select("address"), "address", "left_anti")))
+    old = wanted.select("address").join(held, "address").withColumn("cache_hit", F.lit(True))
+    return old.unionByName(new.withColumn("cache_hit", F.lit(False)))
 
 
 class Memo:

@@ -30,6 +30,14 @@ class Store:
     def has(self, address: str) -> bool:
         return self._exists(f"{self.root}/{address}/data/_SUCCESS")
 
+    def parts(self, address: str) -> list[str]:
+        """The addresses of the finished results below ``address``, in order."""
+        jvm = self.spark.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{address}")
+        files = place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found = [s.getPath().getName() for s in files.listStatus(place)] if files.exists(place) else []
+        return [f"{address}/{n}" for n in sorted(found) if self.has(f"{address}/{n}")]
+
     def read(self, address: str, kind: str = "parquet") -> DataFrame:
         path = f"{self.root}/{address}/data"
         return _LOADERS[kind](self.spark, path) if kind in _LOADERS else self.spark.read.parquet(path)
