@@ -157,6 +157,63 @@ def test_context_mixing(spark, monkeypatch):
     assert context_mixing.score_split(docs(spark, [])).count() == 0
 
 
+def test_context_counts_hold_every_training_document(spark, monkeypatch):
+    """Counts, and the score of a text, against plain loops."""
+    monkeypatch.setattr(context_mixing, "SYMBOLS", 12)
+    monkeypatch.setattr(context_mixing, "BLOCK_BITS", 16)
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices(GOOD, k=rng.randint(0, 40)))) for i in range(300)]
+    _, v, model = context_mixing.learn(docs(spark, rows))
+    token = lambda t: context_mixing.Tokens(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), v)
+    count = Counter()
+    for _, t in rows:
+        _, bit, slots = token(t).bits(v)
+        count.update((int(x), int(b)) for s in slots for x, b in zip(s, bit, strict=True))
+    for slot in {x for x, _ in count}:
+        z, o = count[slot, 0], count[slot, 1]
+        assert math.isclose(model.logit[slot], math.log((o + 0.4) / (z + 0.4)), rel_tol=2e-3, abs_tol=2e-3)
+        assert model.gate[slot] == min(math.ceil(math.log2(z + o + 1)) / 2, context_mixing.GATES - 1) // 1
+    assert (np.abs(model.weights - 1 / context_mixing.K) > 1e-3).any()
+    text = " ".join(rng.choices([*GOOD, "unseen"], k=50))
+    _, bit, slots = token(text).bits(v)
+    extra, want = np.zeros(context_mixing.K), 0.0
+    for lo in range(0, len(bit), 16):
+        change = np.zeros(context_mixing.K)
+        for n in range(lo, min(lo + 16, len(bit))):
+            x = np.array([float(model.logit[s[n]]) for s in slots])
+            w = np.array([float(model.weights[k, model.gate[s[n]]]) for k, s in enumerate(slots)])
+            p = 1 / (1 + math.exp(-float(((w + extra) * x).sum())))
+            want += math.log(p if bit[n] else 1 - p)
+            change += ((1 if bit[n] else 0) - p) * x
+        extra += context_mixing.RATE / 16 * change
+    assert math.isclose(model.score(token(text), v)[0], want, rel_tol=1e-3)
+
+
+def test_gates_learn_which_input_to_trust():
+    rng = np.random.default_rng(5)
+    n = 200_000
+    truth = rng.normal(size=n) * 2
+    bit = (rng.random(n) < 1 / (1 + np.exp(-truth))).astype(np.float32)
+    x = rng.normal(size=(context_mixing.K, n)).astype(np.float32)
+    x[2] = truth
+    gate = np.zeros((context_mixing.K, n), np.int8)
+    gates = context_mixing.Gates()
+    for lo in range(0, n, 50_000):
+        gates.read(x[:, lo : lo + 50_000], gate[:, lo : lo + 50_000], bit[lo : lo + 50_000])
+    want = np.zeros(context_mixing.K)
+    want[2] = 1
+    assert np.abs(gates.weights[:, 0] - want).max() < 0.1 and gates.seen[:, 0].tolist() == [n] * context_mixing.K
+
+
+def test_ids_of_other_kinds(spark):
+    rows = docs(spark, [(i, f"{rng_word} {BAD[i % 3] if i % 2 else GOOD[i % 12]}") for i, rng_word in enumerate(GOOD * 20)])
+    labels = labelled(spark, [(i, i % 2, i % 2) for i in range(240)])
+    small = lambda df: df.withColumn("doc_id", df.doc_id.cast("int"))
+    for train, score in ((toxicity.train, toxicity.score_toxicity), (quality.train, quality.score_quality)):
+        got = score(small(rows), train(small(rows), small(labels)))
+        assert dict(got.dtypes)["doc_id"] == "bigint" and got.count() == 240
+
+
 def test_probabilities_add_up():
     """The symbols' probabilities in a context sum to one."""
     words = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 50, dtype=np.uint64))

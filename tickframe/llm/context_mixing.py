@@ -10,11 +10,13 @@ tree. The predictions are combined in the logistic domain: weights are gated by
 each predictor has seen, and are refined while a document is read, block by block, from
 that document's own errors. A document's score is the log10 probability of its tokens.
 
-Learning is in three passes over the training documents: exact word counts (a shuffled
+Learning is in three passes over all training documents: exact word counts (a shuffled
 sum), context counts (each task fills its tables, which are summed by table block), and the
-gate weights, fitted on a bounded sample (``GATE_DOCS`` documents, taken out of the context
-counts). The context tables have a fixed size; the counts of the ``HEAD`` most frequent
-words are broadcast, those of all other words are joined.
+gate weights. For these the documents are in two halves by a hash of their ids: each half is
+read online against the context counts of the other, and the weights that the tasks reach
+are averaged by how many bits each saw at that gate. Scoring uses the counts of both halves.
+The context tables have a fixed size; the counts of the ``HEAD`` most frequent words are
+broadcast, those of all other words are joined.
 
 Defined cases: null and empty texts consist of the end alone; without training documents
 every count is 0 and the score equals the base score; repeated rows get equal scores; an
@@ -35,7 +37,6 @@ from .cluster import cut, fold, prepare, release
 
 SYMBOLS = 4096
 HEAD = 1 << 19
-GATE_DOCS = 2000
 FREQUENT = 256
 #: Bits of each predictor's table: none, shape, word, two words, last frequent word.
 TABLE_BITS = (13, 18, 20, 20, 20)
@@ -47,6 +48,9 @@ BLOCK_BITS = 256
 #: Bytes of text whose bits are held at once; a longer text stands alone.
 SLICE = 1 << 19
 RATE = 0.02
+#: Bits of one online step of the gate weights, and the least number of steps of a task.
+STEP_BITS = 1 << 16
+STEPS = 60
 NODE_CODE = np.uint64(0x9E3779B97F4A7C15)
 END_WORD = np.uint64(0x5851F42D4C957F2D)
 LOG10 = np.log(10.0)
@@ -206,18 +210,6 @@ class Model:
         x = np.stack([self.logit[s] for s in slots]).astype(np.float32)
         return x, np.stack([self.gate[s] for s in slots])
 
-    def fit(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, times: np.ndarray, steps: int = 60, rate: float = 1.0) -> None:
-        """Gate weights that minimise the coding length of a sample of bits, each counted ``times``, by RMS-scaled gradient steps."""
-        scale = np.zeros((K, GATES))
-        for step in range(steps):
-            z = np.zeros(len(bit))
-            for k in range(K):
-                z += self.weights[k, gate[k]] * x[k]
-            error = times * (bit - 1 / (1 + np.exp(-z)))
-            g = np.stack([np.bincount(gate[k], error * x[k], GATES) for k in range(K)]) / times.sum()
-            scale = 0.9 * scale + 0.1 * g**2
-            self.weights += (0.1 * rate / (1 + step / 10) * g / (np.sqrt(scale) + 1e-6)).astype(np.float32)
-
     def score(self, t: Tokens, v: Vocabulary) -> np.ndarray:
         """Natural log probability of each text's symbols."""
         token, bit, slots = t.bits(v)
@@ -246,6 +238,36 @@ class Model:
         return total
 
 
+class Gates:
+    """Gate weights that follow the coding length of the bits read so far, by RMS-scaled gradient steps."""
+
+    def __init__(self):
+        self.weights = np.full((K, GATES), 1.0 / K)
+        self.scale = np.zeros((K, GATES))
+        self.seen = np.zeros((K, GATES), np.int64)
+        self.steps = 0
+
+    def read(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> None:
+        """Learn from some bits; the first ones are read again until there were ``STEPS`` steps."""
+        if not len(bit):
+            return
+        self.seen += np.stack([np.bincount(g, minlength=GATES) for g in gate])
+        parts = -(-len(bit) // STEP_BITS)
+        for _ in range(max(1, -(-(STEPS - self.steps) // parts))):
+            for lo in range(0, len(bit), STEP_BITS):
+                self._step(x[:, lo : lo + STEP_BITS], gate[:, lo : lo + STEP_BITS], bit[lo : lo + STEP_BITS])
+
+    def _step(self, x, gate, bit):
+        z = np.zeros(len(bit))
+        for k in range(K):
+            z += self.weights[k][gate[k]] * x[k]
+        error = bit - 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        g = np.stack([np.bincount(gate[k], error * x[k], GATES) for k in range(K)]) / len(bit)
+        self.scale = 0.9 * self.scale + 0.1 * g**2
+        self.weights += 0.1 / (1 + self.steps / 10) * g / (np.sqrt(self.scale) + 1e-6)
+        self.steps += 1
+
+
 def count_words(texts: DataFrame) -> DataFrame:
     """(word, c) over the texts."""
 
@@ -285,25 +307,29 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     n_docs = texts.count()
     v = Vocabulary(*_head(counts, HEAD), n_docs, sums.n or 0, sums.v)
 
-    # A hash of the ids picks the gate sample; at about GATE_DOCS documents it leaves most to the tables.
-    every = max(20, -(-n_docs // GATE_DOCS))
-    sampled = F.pmod(F.xxhash64(F.lit(5), F.col("doc_id")), F.lit(every)) == 0
+    texts = texts.select("text", F.pmod(F.xxhash64(F.lit(5), F.col("doc_id")), F.lit(2)).alias("half"))
     words = spark.sparkContext.broadcast(v)
+    size, per_half = int(STARTS[-1]), int(STARTS[-1]) // TABLE_BLOCK
 
-    def tables(batches):
-        vocabulary = words.value
-        counts = np.zeros(2 * STARTS[-1], np.int64)  # zeros and ones of a slot stand side by side
+    def slices(batches):
+        """(bits, slots, which half) of a few texts at a time."""
         for b in batches:
             data, offsets = bt.flat(b["text"])
+            half = b["half"].to_numpy()
             for i, j in bt.slices(offsets, SLICE):
-                _, bit, slots = Tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], vocabulary).bits(vocabulary)
-                one = bit.astype(np.int64)
-                for s in slots:
-                    np.add.at(counts, 2 * s + one, 1)
-        for lo in range(0, STARTS[-1], TABLE_BLOCK):
-            z, o = counts[2 * lo : 2 * (lo + TABLE_BLOCK) : 2], counts[2 * lo + 1 : 2 * (lo + TABLE_BLOCK) : 2]
-            if z.any() or o.any():
-                yield pa.RecordBatch.from_arrays([pa.array([lo // TABLE_BLOCK], pa.int32()), pa.array([z.astype("<u4").tobytes()]), pa.array([o.astype("<u4").tobytes()])], names=["block", "zeros", "ones"])
+                t = Tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words.value)
+                token, bit, slots = t.bits(words.value)
+                yield bit, slots, half[i:j][t.owner[token]]
+
+    def tables(batches):
+        counts = np.zeros(4 * size, np.int64)  # by half; zeros and ones of a slot stand side by side
+        for bit, slots, half in slices(batches):
+            side = 2 * size * half + bit.astype(np.int64)
+            for s in slots:
+                np.add.at(counts, side + 2 * s, 1)
+        pairs = counts.reshape(2 * per_half, TABLE_BLOCK, 2)
+        for block in np.flatnonzero(pairs.any(axis=(1, 2))).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *[pa.array([_packed(pairs[block, :, k])]) for k in (0, 1)]], names=["block", "zeros", "ones"])
 
     def summed(batches):
         held: dict[int, list] = {}
@@ -311,51 +337,45 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
             for k, z, o in zip(b["block"].to_pylist(), b["zeros"].to_pylist(), b["ones"].to_pylist(), strict=True):
                 s = held.setdefault(k, [0, 0])
                 for side, x in enumerate((z, o)):
-                    s[side] = s[side] + np.frombuffer(x, "<u4" if len(x) <= 4 * TABLE_BLOCK else "<u8").astype(np.uint64)
+                    s[side] = s[side] + np.frombuffer(x, f"<u{len(x) // TABLE_BLOCK}").astype(np.int64)
         for k, s in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *[pa.array([np.minimum(x, (1 << 32) - 1).astype("<u4").tobytes()]) for x in s]], names=["block", "zeros", "ones"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *[pa.array([x.astype("<f4").tobytes()]) for x in s]], names=["block", "zeros", "ones"])
 
     kind = "block int, zeros binary, ones binary"
-    blocks = texts.filter(~sampled).select("text").mapInArrow(tables, kind).repartition("block").mapInArrow(summed, kind)
-    zeros, ones = np.zeros(STARTS[-1], np.float32), np.zeros(STARTS[-1], np.float32)
-    for block, z, o in zip(*blocks.toArrow().columns, strict=True):  # two numbers per slot, whatever the corpus
+    blocks = texts.mapInArrow(tables, kind).repartition("block").mapInArrow(summed, kind)
+    zeros, ones = np.zeros(2 * size, np.float32), np.zeros(2 * size, np.float32)
+    for block, z, o in zip(*blocks.toArrow().columns, strict=True):  # four numbers per slot, whatever the corpus
         at = block.as_py() * TABLE_BLOCK
-        x = np.frombuffer(z.as_buffer(), "<u4")
-        zeros[at : at + len(x)] = x
-        ones[at : at + len(x)] = np.frombuffer(o.as_buffer(), "<u4")
-    model = Model(zeros, ones)
+        zeros[at : at + TABLE_BLOCK] = np.frombuffer(z.as_buffer(), "<f4")
+        ones[at : at + TABLE_BLOCK] = np.frombuffer(o.as_buffer(), "<f4")
+    model = Model(zeros[:size] + zeros[size:], ones[:size] + ones[size:])
+    halves = spark.sparkContext.broadcast(Model(zeros, ones))
     del zeros, ones
     release(spark)
 
-    tables_sent = spark.sparkContext.broadcast(model)
-
-    def sample(batches):
-        for b in batches:
-            data, offsets = bt.flat(b["text"])
-            for i, j in bt.slices(offsets, SLICE):
-                _, bit, slots = Tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words.value).bits(words.value)
-                x, gate = tables_sent.value.inputs(slots)
-                # Bits with the same gates and about the same inputs count together.
-                level = np.clip(np.round(x * 2), -20, 20).astype(np.int64) + 20
-                key = np.zeros(len(bit), np.int64)
-                for k in range(K):
-                    key = (key * 41 + level[k]) * GATES + gate[k]
-                key = key * 2 + (bit > 0)
-                key, n = np.unique(key, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n, pa.int64())], names=["key", "n"])
-
-    keys = texts.filter(sampled).limit(2 * GATE_DOCS).mapInArrow(sample, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(200_000).toArrow()
-    if len(keys):
-        key, n = keys["key"].to_numpy().copy(), keys["n"].to_numpy()
-        bit, key = (key % 2).astype(float), key // 2
-        x, gate = np.zeros((K, len(key))), np.zeros((K, len(key)), np.int64)
-        for k in range(K - 1, -1, -1):
-            gate[k], key = key % GATES, key // GATES
-            x[k], key = (key % 41 - 20) / 2.0, key // 41
-        model.fit(x, gate, bit, n.astype(float))
+    def online(batches):
+        gates = Gates()
+        for bit, slots, half in slices(batches):
+            other = size * (1 - half)
+            x, gate = halves.value.inputs([s + other for s in slots])
+            gates.read(x, gate, bit)
+        n = gates.seen.ravel()
+        # Whole millionths, so that the sum does not depend on its order.
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(K * GATES, dtype=np.int32)), pa.array(n), pa.array(np.round(gates.weights.ravel() * 1e6).astype(np.int64) * n)], names=["cell", "n", "weight"])
+
+    reached = texts.mapInArrow(online, "cell int, n long, weight long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum(F.col("weight").cast("decimal(28,0)")).alias("weight"))
+    for r in reached.collect():
+        if r.n:
+            model.weights[r.cell // GATES, r.cell % GATES] = float(r.weight) / r.n / 1e6
     return counts, v, model
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Counts in the fewest bytes that hold the largest one."""
+    most = int(x.max())
+    return x.astype(next(f"<u{k}" for k in (1, 2, 4, 8) if most < 1 << 8 * k)).tobytes()
+
+
 def score_documents(docs: DataFrame, held_out, counts: DataFrame, v: Vocabulary, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every document."""
     spark = docs.sparkSession

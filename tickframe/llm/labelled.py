@@ -18,14 +18,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, he
     The ids number ``max_rows`` at most, which bounds what the join broadcasts. Documents
     with several label rows take the larger one; null ids and labels are left out.
     """
-    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).dropna()
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).dropna()
     known = known.filter(fold(F.col("doc_id"), folds) != held_out).groupBy("doc_id").agg(F.max("label").alias("label"))
     known = cut(known.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))))
     n = known.count()
     if n > 2 * max_rows:  # the smallest places are all below this one, so few rows are sorted
         known = known.filter(F.col("place") < int((1 << 40) * 1.5 * max_rows / n))
     sample = known.orderBy("place", "doc_id").limit(max_rows).drop("place")
-    return docs.select("doc_id", "text").join(F.broadcast(cut(sample)), "doc_id")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(cut(sample)), "doc_id")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

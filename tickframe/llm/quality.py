@@ -179,5 +179,5 @@ def score_quality(docs: DataFrame, trees: Trees, folds: int = 3, held_out: int =
             score = shared.value.score(batch_statistics(b["text"]))
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    rows = docs.select("doc_id", (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
