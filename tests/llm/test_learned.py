@@ -186,7 +186,15 @@ def test_context_counts_hold_every_training_document(spark, monkeypatch):
             want += math.log(p if bit[n] else 1 - p)
             change += ((1 if bit[n] else 0) - p) * x
         extra += context_mixing.RATE / 16 * change
-    assert math.isclose(model.score(token(text), v)[0], want, rel_tol=1e-3)
+    whole = model.score(token(text), v)[0]
+    assert math.isclose(whole, want, rel_tol=1e-3)
+    # In chunks of a few tokens, and among other texts, it gets the same score.
+    monkeypatch.setattr(context_mixing, "CHUNK", 7)
+    monkeypatch.setattr(context_mixing.Tokens.bits, "__defaults__", (0, 7))
+    parts = [rows[5][1], text, "", text, rows[8][1]]
+    data, at = bt.flat(pa.array(parts))
+    got = model.score(context_mixing.Tokens(data, at, v), v)
+    assert np.allclose(got[[1, 3]], whole, rtol=1e-5)
 
 
 def test_gates_learn_which_input_to_trust():

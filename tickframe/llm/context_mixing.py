@@ -26,6 +26,7 @@ empty table gives an empty result; only doc_id and text are read.
 from __future__ import annotations
 
 import heapq
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +46,9 @@ K = len(TABLE_BITS)
 GATES = 8
 TABLE_BLOCK = 1 << 13
 BLOCK_BITS = 256
-#: Bytes of text whose bits are held at once; a longer text stands alone.
+#: Bytes of text whose tokens are held at once (a longer text stands alone), and tokens whose bits are.
 SLICE = 1 << 19
+CHUNK = 1 << 16
 RATE = 0.02
 #: Bits of one online step of the gate weights, and the least number of steps of a task.
 STEP_BITS = 1 << 16
@@ -156,6 +158,7 @@ class Tokens:
         if len(code):
             self.shape[place] = low[ends - 1].astype(np.int64) + 256 * np.minimum(ends - starts, 15)
 
+    @cached_property
     def contexts(self) -> list[np.ndarray]:
         """A 64-bit context per predictor and token; it looks back within the text only."""
         size = len(self.word)
@@ -179,15 +182,16 @@ class Tokens:
         fw = np.where(last >= 0, self.word[np.maximum(last, 0)], np.uint64(1))
         return [np.zeros(size, np.uint64), shape, bt.mix(one + np.uint64(1)), bt.mix(one * np.uint64(3) + bt.mix(two + np.uint64(2))), bt.mix(fw + np.uint64(5))]
 
-    def bits(self, v: Vocabulary):
-        """(token, bit, slots): slots[k] is the place in the joint table for predictor k."""
-        count = v.at[self.symbol + 1] - v.at[self.symbol]
-        token = np.repeat(np.arange(len(count)), count)
-        where = np.repeat(v.at[self.symbol] - np.cumsum(count) + count, count) + np.arange(len(token))
+    def bits(self, v: Vocabulary, first: int = 0, size: int = CHUNK):
+        """(token, bit, slots) of ``size`` tokens from ``first`` on: slots[k] is the place in the joint table for predictor k."""
+        symbol = self.symbol[first : first + size]
+        count = v.at[symbol + 1] - v.at[symbol]
+        token = np.repeat(np.arange(first, first + len(symbol)), count)
+        where = np.repeat(v.at[symbol] - np.cumsum(count) + count, count) + np.arange(len(token))
         node, bit = v.node[where], v.bit[where]
         slots = [node & ((1 << TABLE_BITS[0]) - 1)]
         spread = (node.astype(np.uint64) + np.uint64(1)) * NODE_CODE
-        for k, context in enumerate(self.contexts()):
+        for k, context in enumerate(self.contexts):
             if k:
                 h = (context[token] ^ spread) * np.uint64(0xD6E8FEB86659FD93)
                 h ^= h >> np.uint64(32)
@@ -212,21 +216,38 @@ class Model:
 
     def score(self, t: Tokens, v: Vocabulary) -> np.ndarray:
         """Natural log probability of each text's symbols."""
-        token, bit, slots = t.bits(v)
-        if not len(token):
-            return np.zeros(t.n)
-        x, gate = self.inputs(slots)
-        z = np.zeros(len(bit), np.float32)
-        for k in range(K):
-            z += self.weights[k][gate[k]] * x[k]
-        doc = t.owner[token]
-        first = np.searchsorted(doc, np.arange(t.n + 1))
+        total, extra = np.zeros(t.n), np.zeros((K, t.n), np.float32)
+        held = None
+        for begin in range(0, len(t.word), CHUNK):
+            token, bit, slots = t.bits(v, begin)
+            x, gate = self.inputs(slots)
+            z = np.zeros(len(bit), np.float32)
+            for k in range(K):
+                z += self.weights[k][gate[k]] * x[k]
+            part = [x, z, 2 * bit - 1, t.owner[token]]
+            if held is not None:
+                part = [np.concatenate(both, axis=-1) for both in zip(held, part, strict=True)]
+            held = None
+            doc = part[3]
+            if not len(doc):
+                continue
+            first = np.searchsorted(doc, np.arange(t.n + 1))
+            if begin + CHUNK < len(t.word) and t.owner[begin + CHUNK] == doc[-1]:
+                # A text that goes on keeps its last block for the next round.
+                whole = len(doc) - (len(doc) - first[doc[-1]]) % BLOCK_BITS
+                held = [y[..., whole:] for y in part]
+                part = [y[..., :whole] for y in part]
+            self._refined(*part, first, extra, total)
+        return total
+
+    def _refined(self, x, z, sign, doc, first, extra, total) -> None:
+        """Add the log probabilities of whole blocks to ``total``, block by block, and refine ``extra``."""
+        if not len(doc):
+            return
         block = (np.arange(len(doc)) - first[doc]) // BLOCK_BITS
-        order = np.argsort(block, kind="stable")
-        x, z, sign, doc, block = x[:, order], z[order], 2 * bit[order] - 1, doc[order], block[order]
+        order = np.argsort(block.astype(np.uint16) if block.max() < 1 << 16 else block, kind="stable")
+        x, z, sign, doc, block = x[:, order], z[order], sign[order], doc[order], block[order]
         at = np.searchsorted(block, np.arange(block[-1] + 2))
-        extra = np.zeros((K, t.n), np.float32)
-        total = np.zeros(t.n)
         for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             d, xs, s = doc[lo:hi], x[:, lo:hi], sign[lo:hi]
             odds = np.exp(np.minimum(-s * (z[lo:hi] + (extra[:, d] * xs).sum(0)), 80))  # against the bit that came
@@ -235,7 +256,6 @@ class Model:
             total[whose] -= np.add.reduceat(np.log1p(odds).astype(np.float64), edge)
             error = s * (odds / (1 + odds))
             extra[:, whose] += RATE / 16 * np.add.reduceat(error * xs, edge, axis=1)
-        return total
 
 
 class Gates:
@@ -251,16 +271,17 @@ class Gates:
         """Learn from some bits; the first ones are read again until there were ``STEPS`` steps."""
         if not len(bit):
             return
+        gate = [g.astype(np.intp) for g in gate]
         self.seen += np.stack([np.bincount(g, minlength=GATES) for g in gate])
         parts = -(-len(bit) // STEP_BITS)
         for _ in range(max(1, -(-(STEPS - self.steps) // parts))):
             for lo in range(0, len(bit), STEP_BITS):
-                self._step(x[:, lo : lo + STEP_BITS], gate[:, lo : lo + STEP_BITS], bit[lo : lo + STEP_BITS])
+                self._step(x[:, lo : lo + STEP_BITS], [g[lo : lo + STEP_BITS] for g in gate], bit[lo : lo + STEP_BITS])
 
     def _step(self, x, gate, bit):
-        z = np.zeros(len(bit))
+        z = np.zeros(len(bit), np.float32)
         for k in range(K):
-            z += self.weights[k][gate[k]] * x[k]
+            z += self.weights[k].astype(np.float32)[gate[k]] * x[k]
         error = bit - 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         g = np.stack([np.bincount(gate[k], error * x[k], GATES) for k in range(K)]) / len(bit)
         self.scale = 0.9 * self.scale + 0.1 * g**2
@@ -318,8 +339,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
             half = b["half"].to_numpy()
             for i, j in bt.slices(offsets, SLICE):
                 t = Tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words.value)
-                token, bit, slots = t.bits(words.value)
-                yield bit, slots, half[i:j][t.owner[token]]
+                for first in range(0, len(t.word), CHUNK):
+                    token, bit, slots = t.bits(words.value, first)
+                    yield bit, slots, half[i:j][t.owner[token]]
 
     def tables(batches):
         counts = np.zeros(4 * size, np.int64)  # by half; zeros and ones of a slot stand side by side
