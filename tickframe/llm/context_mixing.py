@@ -210,9 +210,23 @@ class Model:
         self.gate = np.minimum(np.ceil(np.log2(seen + 1)) / 2, GATES - 1).astype(np.int8)
         self.weights = np.full((K, GATES), 1.0 / K, np.float32)
 
+    @cached_property
+    def plain(self) -> np.ndarray:
+        """Logits as they are looked up; only the shorter form is sent around."""
+        return self.logit.astype(np.float32)
+
+    @cached_property
+    def weighted(self) -> np.ndarray:
+        """Logits times the weights of their gates; the weights must not change any more."""
+        return np.concatenate([self.weights[k][self.gate[lo:hi]] * self.plain[lo:hi] for k, (lo, hi) in enumerate(zip(STARTS[:-1], STARTS[1:], strict=True))])
+
     def inputs(self, slots) -> tuple[np.ndarray, np.ndarray]:
-        x = np.stack([self.logit[s] for s in slots]).astype(np.float32)
-        return x, np.stack([self.gate[s] for s in slots])
+        x = np.empty((len(slots), len(slots[0])), np.float32)
+        gate = np.empty(x.shape, np.int8)
+        for k, s in enumerate(slots):
+            np.take(self.plain, s, out=x[k], mode="clip")
+            np.take(self.gate, s, out=gate[k], mode="clip")
+        return x, gate
 
     def score(self, t: Tokens, v: Vocabulary) -> np.ndarray:
         """Natural log probability of each text's symbols."""
@@ -220,10 +234,10 @@ class Model:
         held = None
         for begin in range(0, len(t.word), CHUNK):
             token, bit, slots = t.bits(v, begin)
-            x, gate = self.inputs(slots)
-            z = np.zeros(len(bit), np.float32)
-            for k in range(K):
-                z += self.weights[k][gate[k]] * x[k]
+            x, z = np.empty((K, len(bit)), np.float32), np.zeros(len(bit), np.float32)
+            for k, s in enumerate(slots):
+                np.take(self.plain, s, out=x[k], mode="clip")
+                z += np.take(self.weighted, s)
             part = [x, z, 2 * bit - 1, t.owner[token]]
             if held is not None:
                 part = [np.concatenate(both, axis=-1) for both in zip(held, part, strict=True)]
@@ -250,12 +264,16 @@ class Model:
         at = np.searchsorted(block, np.arange(block[-1] + 2))
         for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             d, xs, s = doc[lo:hi], x[:, lo:hi], sign[lo:hi]
-            odds = np.exp(np.minimum(-s * (z[lo:hi] + (extra[:, d] * xs).sum(0)), 80))  # against the bit that came
             edge = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-            whose = d[edge]
+            whose, length = d[edge], np.diff(np.append(edge, len(d)))
+            logit = z[lo:hi].copy()
+            for k in range(K):
+                logit += np.repeat(extra[k, whose], length) * xs[k]
+            odds = np.exp(np.minimum(-s * logit, 80))  # against the bit that came
             total[whose] -= np.add.reduceat(np.log1p(odds).astype(np.float64), edge)
             error = s * (odds / (1 + odds))
-            extra[:, whose] += RATE / 16 * np.add.reduceat(error * xs, edge, axis=1)
+            for k in range(K):
+                extra[k, whose] += np.float32(RATE / 16) * np.add.reduceat(error * xs[k], edge)
 
 
 class Gates:
