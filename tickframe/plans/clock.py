@@ -62,7 +62,7 @@ def shared_root(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a temporary folder where it is unset and Spark runs in one process."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir", "")
-    if not folder and not context.master.startswith("local"):
+    if not folder and context.master != "local" and not context.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return folder or tempfile.mkdtemp(prefix="tickframe-")
 
