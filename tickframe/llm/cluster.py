@@ -37,7 +37,12 @@ def shared_folder(spark: SparkSession) -> str:
     """
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir", "") or getattr(context, "_tickframe_folder", "")
+    held = context._jsc.sc().getCheckpointDir()
+    if not folder and held.isDefined():
+        folder = held.get()
     if not folder:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = context._tickframe_folder = tempfile.mkdtemp(prefix="tickframe-checkpoint-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
     # Unless the cluster says otherwise, checkpoints go when nothing refers to them any more.
